@@ -5,6 +5,7 @@ Point arrays hold structs with fields x and y (or lon and lat renamed to them).
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -116,12 +117,28 @@ def bbox_for_cells(s, w, n, e, metres_per_tile: float) -> Column:
 
 
 # ------------------------------------------------------------------- point arrays
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times inside `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bound(fn):
+    """Bind the first argument, so that lambdas inside `fn` do not evaluate it once per element."""
+    @functools.wraps(fn)
+    def call(pts: Column, *args, **kwargs) -> Column:
+        return let(pts, lambda p: fn(p, *args, **kwargs))
+
+    return call
+
+
+@bound
 def edges(pts: Column) -> Column:
     """Edges of a ring as structs (a, b); the last point joins the first."""
     n = F.size(pts)
     return F.transform(pts, lambda p, i: F.struct(p.alias("a"), F.get(pts, (i + 1) % n).alias("b")))
 
 
+@bound
 def segments(pts: Column) -> Column:
     """Consecutive point pairs of an open line."""
     n = F.size(pts)
@@ -139,11 +156,16 @@ def point_in_ring(pts: Column, x: Column, y: Column) -> Column:
     return (F.size(pts) >= 3) & (F.size(F.filter(edges(pts), crosses)) % 2 == 1)
 
 
+@bound
 def ring_area(pts: Column) -> Column:
-    """Shoelace area, orientation ignored."""
-    twice = F.aggregate(edges(pts), F.lit(0.0),
-                        lambda acc, ed: acc + ed["a"]["x"] * ed["b"]["y"] - ed["b"]["x"] * ed["a"]["y"])
-    return F.abs(twice) / 2.0
+    """Shoelace area about the first point, orientation ignored."""
+    o = F.get(pts, F.lit(0))
+
+    def step(acc, ed):
+        a, b = ed["a"], ed["b"]
+        return acc + (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+
+    return F.abs(F.aggregate(edges(pts), F.lit(0.0), step)) / 2.0
 
 
 def area_m2(pts: Column) -> Column:
@@ -172,27 +194,32 @@ def bounds(pts: Column) -> Column:
                     F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+@bound
 def close_ring(pts: Column) -> Column:
     first, last = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
     return F.when((F.size(pts) > 0) & (first != last), F.concat(pts, F.array(first))).otherwise(pts)
 
 
+@bound
 def open_ring(pts: Column) -> Column:
     first, last = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
     return F.when((F.size(pts) > 1) & (first == last), F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0)))).otherwise(pts)
 
 
+@bound
 def ring_mean(pts: Column) -> Column:
     n = F.size(pts)
     return F.struct((F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["x"]) / n).alias("x"),
                     (F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["y"]) / n).alias("y"))
 
 
+@bound
 def drop_repeats(pts: Column) -> Column:
     """Remove points equal to the one before."""
     return F.filter(pts, lambda p, i: (i == 0) | (p != F.get(pts, i - 1)))
 
 
+@bound
 def drop_collinear(pts: Column) -> Column:
     """Remove points in the middle of a straight run (open line)."""
     n = F.size(pts)
@@ -209,17 +236,22 @@ def drop_collinear(pts: Column) -> Column:
 def clean_ring(pts: Column, min_points: int = 3) -> Column:
     """Whole-tile ring without repeats or straight-run points; null when too little is left."""
     whole = F.transform(pts, lambda p: F.struct(F.rint(p["x"]).cast("int").alias("x"), F.rint(p["y"]).cast("int").alias("y")))
-    ring = open_ring(drop_repeats(whole))
+    kept = _corners(open_ring(drop_repeats(whole)))
+    return let(kept, lambda k: F.when(F.size(k) >= min_points, k))
+
+
+@bound
+def _corners(ring: Column) -> Column:
     n = F.size(ring)
 
     def bends(p, i):
         a, b = F.get(ring, (i + n - 1) % n), F.get(ring, (i + 1) % n)
         return ((p["x"] - a["x"]) * (b["y"] - p["y"]) - (p["y"] - a["y"]) * (b["x"] - p["x"])) != 0
 
-    kept = F.filter(ring, bends)
-    return F.when(F.size(kept) >= min_points, kept)
+    return F.filter(ring, bends)
 
 
+@bound
 def scale_ring(pts: Column, factor: Column) -> Column:
     """Scale about the mean of the points."""
     c = ring_mean(pts)
@@ -243,6 +275,7 @@ def octilinear_legs(ax, ay, bx, by) -> Column:
     return F.array(pt(p1x, p1y), pt(p1x + sx * diag, p1y + sy * diag), pt(bx, by))
 
 
+@bound
 def cumulative(pts: Column) -> Column:
     """Distance from the start at every point of a line."""
     n = F.size(pts)
@@ -256,25 +289,42 @@ def cumulative(pts: Column) -> Column:
     return F.when(n >= 2, F.aggregate(segments(pts), start, step)["out"]).otherwise(F.array(F.lit(0.0)))
 
 
+def _with_distance(pts: Column) -> Column:
+    """The points with their distance from the start, as (p, d)."""
+    return let(cumulative(pts), lambda cum: F.transform(pts, lambda p, i: F.struct(p.alias("p"), F.get(cum, i).alias("d"))))
+
+
+def _at(marks: Column, at: Column) -> Column:
+    """The point at a distance along marked points."""
+    n = F.size(marks)
+    d = F.greatest(F.lit(0.0), F.least(at, F.get(marks, n - 1)["d"]))
+    i = F.greatest(F.lit(0), F.least(F.size(F.filter(marks, lambda m: m["d"] <= d)) - 1, n - 2))
+
+    def between(i):
+        a, b = F.get(marks, i), F.get(marks, i + 1)
+        t = F.coalesce((d - a["d"]) / F.nullif(b["d"] - a["d"], F.lit(0.0)), F.lit(0.0))
+        return F.struct((a["p"]["x"] + (b["p"]["x"] - a["p"]["x"]) * t).alias("x"),
+                        (a["p"]["y"] + (b["p"]["y"] - a["p"]["y"]) * t).alias("y"))
+
+    return let(i, between)
+
+
+@bound
 def interpolate(pts: Column, at: Column) -> Column:
     """The point a given distance along a line, clamped to its ends."""
-    cum = cumulative(pts)
-    n = F.size(pts)
-    d = F.greatest(F.lit(0.0), F.least(at, F.get(cum, n - 1)))
-    i = F.greatest(F.lit(0), F.least(F.size(F.filter(cum, lambda c: c <= d)) - 1, n - 2))
-    a, b = F.get(pts, i), F.get(pts, i + 1)
-    span = F.get(cum, i + 1) - F.get(cum, i)
-    t = F.coalesce((d - F.get(cum, i)) / F.nullif(span, F.lit(0.0)), F.lit(0.0))
-    return F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+    return let(_with_distance(pts), lambda marks: _at(marks, at))
 
 
+@bound
 def line_substring(pts: Column, start: Column, stop: Column) -> Column:
     """The part of a line between two distances."""
-    cum = cumulative(pts)
-    inner = F.filter(F.transform(pts, lambda p, i: F.struct(p.alias("p"), F.get(cum, i).alias("d"))),
-                     lambda q: (q["d"] > start) & (q["d"] < stop))
-    return F.concat(F.array(interpolate(pts, start)), F.transform(inner, lambda q: F.struct(q["p"]["x"].alias("x"), q["p"]["y"].alias("y"))),
-                    F.array(interpolate(pts, stop)))
+    def part(marks):
+        inner = F.filter(marks, lambda m: (m["d"] > start) & (m["d"] < stop))
+        return F.concat(F.array(_at(marks, start)),
+                        F.transform(inner, lambda m: F.struct(m["p"]["x"].alias("x"), m["p"]["y"].alias("y"))),
+                        F.array(_at(marks, stop)))
+
+    return let(_with_distance(pts), part)
 
 
 def road_strip(pts: Column, half: Column) -> Column:

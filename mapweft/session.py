@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan. No job runs."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size.toString()))
+    return int(size) if isinstance(size, int) else int(str(size))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
