@@ -1,6 +1,6 @@
 """Imports every query module so that its queries are registered."""
 
 from .registry import ORACLES, QUERIES
-from . import q_census, q_classify, q_joins, q_order, q_scalar, q_tiles  # noqa: F401
+from . import q_census, q_classify, q_joins, q_network, q_order, q_scalar, q_tiles  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
