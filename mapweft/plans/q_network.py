@@ -130,7 +130,7 @@ def raised(spark, d):
     return s.withColumn("level", level).withColumn("width", lookup(c("category"), V.ROAD_WIDTH_M))
 
 
-@query("bridge_crossings", f"""WITH {SEGMENTS}, u AS (SELECT *, 12.0 AS width FROM seg WHERE category = 'road_major'), l AS (SELECT *, {WIDTH_SQL} AS width FROM seg WHERE category <> 'road_major'),
+@query("bridge_crossings", f"""WITH {SEGMENTS}, u AS (SELECT *, 12.0 AS width FROM seg WHERE category = 'road_major'), l AS (SELECT sid, way_id, ax + 3 AS ax, ay + 3 AS ay, bx + 3 AS bx, bv + 3 AS bv, {WIDTH_SQL} AS width FROM seg WHERE category <> 'road_major'),
  p AS (SELECT u.sid, l.sid AS l_sid, u.width AS uw, l.width AS lw, u.ax, u.ay, u.bx, u.bv, l.ax AS cx, l.ay AS cy, l.bx AS dx, l.bv AS dy, CAST((u.bx - u.ax) * (l.bv - l.ay) - (u.bv - u.ay) * (l.bx - l.ax) AS DOUBLE) AS den
   FROM u JOIN l ON least(u.ax, u.bx) <= greatest(l.ax, l.bx) AND greatest(u.ax, u.bx) >= least(l.ax, l.bx) AND least(u.ay, u.bv) <= greatest(l.ay, l.bv) AND greatest(u.ay, u.bv) >= least(l.ay, l.bv)),
  q AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / nullif(den, 0) AS t, ((cx - ax) * (bv - ay) - (cy - ay) * (bx - ax)) / nullif(den, 0) AS s FROM p),
@@ -139,7 +139,9 @@ SELECT sid, l_sid, round(x, 6) AS x, round(y, 6) AS y, round((lw / 2 + 3) / grea
 WHERE NOT (sqrt(power(x - ax, 2) + power(y - ay, 2)) < 1 OR sqrt(power(x - bx, 2) + power(y - bv, 2)) < 1 OR sqrt(power(x - cx, 2) + power(y - cy, 2)) < 1 OR sqrt(power(x - dx, 2) + power(y - dy, 2)) < 1)""", [VX])
 def bridge_crossings(spark, d):
     r = raised(spark, d)
-    out = N.bridge_crossings(r.where("level = 1"), r.where("level = 0"))
+    # The lower network is moved off the lattice, so that it is crossed between its vertices.
+    lower = r.where("level = 0").select("sid", "way_id", "level", "width", *[(c(n) + 3).alias(n) for n in ("ax", "ay", "bx", "by")])
+    out = N.bridge_crossings(r.where("level = 1"), lower)
     return out.select("sid", "l_sid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("half", 6).alias("half"))
 
 
