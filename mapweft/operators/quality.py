@@ -41,3 +41,20 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def selection_guard(n_points: Column, area: Column, max_points: int = 20000, min_area: float = 1e-6) -> Column:
     return case((n_points > max_points, "too many points"), (area < min_area, "no area"), default="ok")
+
+
+def clip_classify(pts: Column, s: Column, w: Column, n: Column, e: Column) -> Column:
+    """How a way (points x, y) relates to a box: hit, cover (the box lies inside its ring) or miss.
+
+    The ring's own box is tested first, so most ways never reach the segment test.
+    """
+    from ..functions import geo as P
+
+    def test(p):
+        b = P.bounds(p)
+        apart = ~P.boxes_meet(b["y0"], b["x0"], b["y1"], b["x1"], s, w, n, e)
+        hit = F.exists(P.segments(p), lambda g: P.segment_hits_box(g["a"]["y"], g["a"]["x"], g["b"]["y"], g["b"]["x"], s, w, n, e))
+        ring = F.get(p, F.lit(0)) == F.get(p, F.size(p) - 1)
+        return case((apart, "miss"), (hit, "hit"), (ring & P.point_in_ring(p, w, s), "cover"), default="miss")
+
+    return P.let(pts, test)

@@ -1,6 +1,15 @@
 """Imports every query module so that its queries are registered."""
 
 from .registry import ORACLES, QUERIES
-from . import q_census, q_classify, q_joins, q_network, q_order, q_scalar, q_tiles  # noqa: F401
+from . import (  # noqa: F401
+    q_census,
+    q_classify,
+    q_joins,
+    q_network,
+    q_order,
+    q_scalar,
+    q_sources,
+    q_tiles,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

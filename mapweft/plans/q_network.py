@@ -182,11 +182,12 @@ def spaced_points(spark, d):
 
 @query("street_infill")
 def street_infill(spark, d):
-    segs = lattice_segments(spark, d)
-    dist = R.cumulative_distance(view(spark, d, VX)).select("way_id", "pos", c("dist").alias("start"))
+    """Houses along the minor roads, the lattice stretched to 80-tile blocks."""
+    v = view(spark, d, VX).withColumn("x", c("x") * 10).withColumn("y", c("y") * 10)
+    dist = R.cumulative_distance(v).select("way_id", "pos", c("dist").alias("start"))
     total = dist.groupBy("way_id").agg(F.max("start").alias("total"))
-    half = lookup(c("category"), {k: v / 2 for k, v in V.ROAD_WIDTH_M.items()})
-    roads = segs.select("sid", "way_id", "pos", *[c(n).cast("double").alias(n) for n in ("ax", "ay", "bx", "by")], half.alias("half"), "category")
+    half = lookup(c("category"), {k: w / 2 for k, w in V.ROAD_WIDTH_M.items()})
+    roads = R.road_graph(v).select((c("way_id") * 100 + c("pos")).alias("sid"), "way_id", "pos", *[c(n).cast("double").alias(n) for n in ("ax", "ay", "bx", "by")], half.alias("half"), "category")
     streets = roads.where("category = 'road_minor'").join(dist, ["way_id", "pos"]).join(total, "way_id")
     land = view(spark, d, VA).where("category IN ('industrial', 'commercial', 'cemetery')").select("x0", "y0", c("side").alias("w"), c("side").alias("h"))
     out = N.street_infill(streets, roads, view(spark, d, VB), land)
