@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import SKEW_CHECK_BYTES, estimated_bytes
+from ..session import fits_one_task
 
 Box = tuple  # (x0, y0, x1, y1), names or columns, edges included
 
@@ -60,7 +60,7 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int, f
     Counting costs a pass, so it runs only when the left side is big enough
     for one cell to overload a task.
     """
-    if not force and estimated_bytes(left) < SKEW_CHECK_BYTES:
+    if not force and fits_one_task(left):
         return left, right, keys
     hot = (left.groupBy(*keys).count().where(F.col("count") > hot_rows)
            .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_ways")))

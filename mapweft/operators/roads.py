@@ -17,8 +17,7 @@ def c(name: str) -> Column:
 
 def road_graph(vertices: DataFrame) -> DataFrame:
     """Edges (way_id, pos, akey, bkey, len) between consecutive vertices."""
-    nxt = vertices.select("way_id", (c("pos") - 1).alias("pos"), c("vkey").alias("bkey"), c("x").alias("bx"), c("y").alias("by"))
-    joined = vertices.join(nxt, ["way_id", "pos"])
+    joined = scan.with_next(vertices, ["way_id"], "pos", {"bkey": "vkey", "bx": "x", "by": "y"})
     dx, dy = c("bx") - c("x"), c("by") - c("y")
     return joined.select("way_id", "pos", c("vkey").alias("akey"), "bkey", F.sqrt((dx * dx + dy * dy).cast("double")).alias("len"),
                          c("x").alias("ax"), c("y").alias("ay"), "bx", "by", "category")
@@ -58,9 +57,11 @@ def dominant_angle(segs: DataFrame) -> DataFrame:
 
 def cumulative_distance(vertices: DataFrame) -> DataFrame:
     """Vertices with the distance from the start of their road."""
-    edges = road_graph(vertices).select("way_id", (c("pos") + 1).alias("pos"), "len")
-    with_len = vertices.join(edges, ["way_id", "pos"], "left")
-    return scan.prefix_sum(with_len, ["way_id"], "pos", F.coalesce("len", F.lit(0.0)), "dist").drop("len")
+    dx, dy = c("_nx") - c("x"), c("_ny") - c("y")
+    ahead = scan.carry(vertices, ["way_id"], "pos", {"_nx": c("x"), "_ny": c("y")}, forward=False)
+    out = ahead.withColumn("_len", F.coalesce(F.sqrt((dx * dx + dy * dy).cast("double")), F.lit(0.0)))
+    return scan.prefix_sum(out, ["way_id"], "pos", c("_len"), "dist", inclusive=False).drop("_nx", "_ny", "_len") \
+        .withColumn("dist", c("dist").cast("double"))
 
 
 def next_prev_cut(vertices: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -221,10 +221,10 @@ def area_overrides_paint(spark, d):
 # ------------------------------------------------------------------- lines
 def lattice_segments(spark, d):
     """Road segments between consecutive vertices, as boxes (sid, ax, ay, bx, by)."""
-    v = view(spark, d, "v_vertex")
-    nxt = v.select("way_id", (c("pos") - 1).alias("pos"), c("x").alias("bx"), c("y").alias("by"), c("vkey").alias("bkey"))
-    return v.join(nxt, ["way_id", "pos"]).select("way_id", "pos", (c("way_id") * 100 + c("pos")).alias("sid"), c("x").alias("ax"), c("y").alias("ay"),
-                                                 "bx", "by", c("vkey").alias("akey"), "bkey", "category")
+    from ..operators import scan
+
+    v = scan.with_next(view(spark, d, "v_vertex"), ["way_id"], "pos", {"bx": "x", "by": "y", "bkey": "vkey"})
+    return v.select("way_id", "pos", (c("way_id") * 100 + c("pos")).alias("sid"), c("x").alias("ax"), c("y").alias("ay"), "bx", "by", c("vkey").alias("akey"), "bkey", "category")
 
 
 SEGMENTS = """seg AS (SELECT a.way_id, a.pos, a.way_id * 100 + a.pos AS sid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bv, a.vkey AS akey, b.vkey AS bkey, a.category

@@ -221,10 +221,10 @@ def clip_classify(spark, d):
     return view(spark, d, VB).select("fid", Q.clip_classify(ring, by, bx, by + 2, bx + 2).alias("outcome"))
 
 
-@query("shape_filter", """SELECT fid FROM (SELECT fid, x0 + w / 2.0 AS px, y0 + h / 2.0 AS py FROM v_building) q WHERE px > 200 AND py > 200 AND px + py < 1700.25""", [VB])
+@query("shape_filter", """SELECT fid FROM (SELECT fid, x0 + w / 2.0 AS px, y0 + h / 2.0 AS py FROM v_building) q WHERE px > 200.25 AND py > 200.25 AND px + py < 1700.6""", [VB])
 def shape_filter(spark, d):
     """Buildings whose centre is in a drawn triangle."""
-    ring = F.array(*[xy(F.lit(a), F.lit(b)) for a, b in ((200.0, 200.0), (1500.25, 200.0), (200.0, 1500.25))])
+    ring = F.array(*[xy(F.lit(a), F.lit(b)) for a, b in ((200.25, 200.25), (1500.35, 200.25), (200.25, 1500.35))])
     return view(spark, d, VB).where(P.point_in_ring(ring, c("x0") + c("w") / 2.0, c("y0") + c("h") / 2.0)).select("fid")
 
 

@@ -54,6 +54,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(size) if isinstance(size, int) else int(str(size))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables a plan reads. No job runs.
+
+    Join estimates multiply their sides, so the sum over the leaves is the
+    better measure of whether one key could overload a task.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether even a key that held every row would be an ordinary task."""
+    return input_bytes(df) < SKEW_CHECK_BYTES
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the estimate allows it; otherwise leave the plan to Spark."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
