@@ -71,7 +71,7 @@ def clusters_by_hand(rows, near=12.0):
 @pytest.mark.parametrize("group_pairs", [50_000, 0])
 def test_junction_clusters(spark, group_pairs):
     rng = np.random.default_rng(11)
-    rows = [(i, float(x), float(y), float(rng.choice([3.5, 6.0, 8.0, 12.0])), 3) for i, (x, y) in enumerate(rng.integers(0, 80, (45, 2)))]
+    rows = [(i, float(x), float(y), float(rng.choice([3.5, 6.0, 8.0, 12.0])), 3) for i, (x, y) in enumerate(rng.integers(0, 40, (12, 2)))]
     df = spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")
     got = dict(network.junction_clusters(df, group_pairs=group_pairs).collect())
     assert got == clusters_by_hand(rows)
@@ -80,7 +80,7 @@ def test_junction_clusters(spark, group_pairs):
 def test_thin_and_grow(spark):
     rng = np.random.default_rng(7)
     kinds = ["house", "shed", "school", "apartment", "shop"]
-    rows = [(i, float(x), float(y), int(rng.integers(20, 200)), int(rng.integers(5, 20)), kinds[i % 5]) for i, (x, y) in enumerate(rng.uniform(0, 150, (80, 2)))]
+    rows = [(i, float(x), float(y), int(rng.integers(20, 200)), int(rng.integers(5, 20)), kinds[i % 5]) for i, (x, y) in enumerate(rng.uniform(0, 90, (24, 2)))]
     kept, expect = [], {}
     for i, x, y, area, long_side, kind in sorted(rows, key=lambda r: (r[5] in V.HOUSING, -r[3], r[0])):
         land = kind not in V.HOUSING
