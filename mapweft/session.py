@@ -43,9 +43,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and return it without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to reliable storage and return it without its lineage.
+
+    A checkpoint keeps the constraints its plan inferred, and in a loop they
+    multiply until planning never ends, so they are not inferred here.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def estimated_bytes(df: DataFrame) -> int:
