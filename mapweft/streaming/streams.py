@@ -16,9 +16,12 @@ def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def trailing_rate(events: DataFrame, size: str = "4 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and value sums per sliding window. The same plan serves batch and stream."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = events
+    if events.isStreaming:
+        # Watermarks need an instant; the window start goes back to the wall clock below.
+        seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return seen.groupBy(F.window("ts", size, slide).alias("win"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")) \
-        .select(F.col("win.start").alias("start"), "event_type", "n", "total")
+        .select(F.col("win.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def fold_edits_stream(patches: DataFrame, keys: list[str], state_path: str, checkpoint: str):
