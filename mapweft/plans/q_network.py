@@ -182,8 +182,8 @@ def spaced_points(spark, d):
 
 @query("street_infill")
 def street_infill(spark, d):
-    """Houses along the minor roads, the lattice stretched to 80-tile blocks."""
-    v = view(spark, d, VX).withColumn("x", c("x") * 10).withColumn("y", c("y") * 10)
+    """Houses along the minor roads."""
+    v = view(spark, d, VX)
     dist = R.cumulative_distance(v).select("way_id", "pos", c("dist").alias("start"))
     total = dist.groupBy("way_id").agg(F.max("start").alias("total"))
     half = lookup(c("category"), {k: w / 2 for k, w in V.ROAD_WIDTH_M.items()})
