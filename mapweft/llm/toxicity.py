@@ -64,9 +64,11 @@ def _hits(texts: list[str | None], slot: np.ndarray) -> tuple[np.ndarray, np.nda
     width = int(slot.max()) + 1 if slot.size else 1
     found = []
     for data, starts, owners in _slices(texts):
-        for buckets in _ngram_buckets(data):
+        full = np.frombuffer(data, np.uint8) != 0
+        for order, buckets in zip(ORDERS, _ngram_buckets(data), strict=True):
             got = slot[buckets]
             at = np.flatnonzero(got >= 0)
+            at = at[full[at] & full[at + order - 1]]  # inside one text: the gaps hold zeros
             if at.size:
                 who = owners[np.searchsorted(starts, at, "right") - 1].astype(np.int64)
                 found.append(np.unique(who * width + got[at]))
