@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweft.session import cut
 
+# Edges that one task contracts by itself before tasks exchange anything.
+TASK_EDGES = 200_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same connections as stars: each endpoint of this task's edges with its smallest id."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"a": [find(x) for x in parent], "b": list(parent)}, dtype="int64")
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every endpoint; the component is the smallest id in reach.
 
-    Each round hooks every label to its smallest neighbour, follows the hooks to their
+    Tasks of a bounded number of edges first turn their own into stars. Then each round hooks every label to its smallest neighbour, follows the hooks to their
     roots, and contracts the edges. Labels without smaller neighbours stay; every other
     one merges, so the number of labels shrinks at least by half wherever edges are left.
     A hub's minimum is taken with partial aggregation, and joins on a hub meet a
     checkpointed side, so that a skewed join can be split at run time.
     """
     ends = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-    state = cut(ends.where("a <> b").distinct())
-    labels = cut(ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id")))
+    ends = cut(ends)
+    tasks = ends.count() // TASK_EDGES + 1
+    state = cut(ends.repartition(tasks).mapInPandas(_forest, "a long, b long").distinct())
+    labels = cut(state.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id")))
+    state = state.where("a <> b")
     while not state.isEmpty():
         both = state.union(state.select(F.col("b"), F.col("a")))
         roots = cut(both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("low")).select("label", F.least("label", "low").alias("root")))

@@ -16,7 +16,9 @@ from mapweft.session import cut
 
 WORDS = 5
 ROW_BITS = 18  # a document's number in its block
-SAMPLE = np.uint64(3)  # every third shingle is counted over all documents
+SAMPLE = np.uint64(3)  # of large sets, every third shingle is counted over all documents
+LARGE = 200  # members from which a set is large
+SMALL_TOKENS = np.uint64(0xA5A5F00D12345678)  # parts the tokens of small sets from those of large ones
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.default_rng(7)
@@ -75,15 +77,32 @@ def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
-def _sampled_keys(hashes: np.ndarray, sizes: np.ndarray):
-    chosen = np.flatnonzero(hashes % SAMPLE == 0)
-    docs = np.repeat(np.arange(len(sizes)), sizes)[chosen]
-    return chosen, *distinct_keys(hashes[chosen] >> np.uint64(17), docs)
+def _views(hashes: np.ndarray, sizes: np.ndarray, percent: int):
+    """Tokens of the small and of the large sets: (token, document, counted) of each view.
+
+    In a small set every member is counted, in a large one every third. A set whose
+    size is near the limit is in both views, under different tokens; similar sets are
+    therefore in one view together, and a view has one order for all its sets.
+    """
+    docs = np.repeat(np.arange(len(sizes)), sizes)
+    of = sizes[docs]
+    small, large = of <= LARGE * 100 // percent, of >= LARGE
+    yield _mix(hashes[small] ^ SMALL_TOKENS), docs[small], np.ones(int(small.sum()), bool)
+    yield hashes[large], docs[large], hashes[large] % SAMPLE == 0
+
+
+def _counted(views: list):
+    """Counted tokens of a block: distinct keys, whether several documents have them, each one's place."""
+    keys = np.concatenate([t[c] for t, _, c in views]) >> np.uint64(17)
+    return distinct_keys(keys, np.concatenate([d[c] for _, d, c in views]))
 
 
-def _keys_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    _, keys, several, _ = _sampled_keys(*shingle_sets(block))
-    return keys, several
+def _keys_of(percent: int):
+    def run(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        keys, several, _ = _counted(list(_views(*shingle_sets(block), percent)))
+        return keys, several
+
+    return run
 
 
 def prefix_size(n: np.ndarray | int, percent: int):
@@ -99,28 +118,38 @@ def _describe(percent: int, buckets: int):
             for row in batch.itertuples():
                 block = unpack(row)
                 hashes, sizes = shingle_sets(block)
-                chosen, keys, _, place = _sampled_keys(hashes, sizes)
-                grades = read_marks(row.marks)
-                # The global order: sampled ones by how common they are, then the others.
-                rank = np.full(len(hashes), 255, np.uint8)
-                rank[chosen] = grades[place]
-                out, postings = [], []
+                views = list(_views(hashes, sizes, percent))
+                _, _, place = _counted(views)
+                grades = read_marks(row.marks)[place] if len(place) else np.zeros(0, np.uint8)
+                out, postings, with_postings = [], [], set()
                 seen: dict[bytes, int] = {}
                 ends = np.cumsum(sizes)
                 for d, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
                     uid = row.block << ROW_BITS | d
-                    own, own_rank = hashes[end - n : end], rank[end - n : end]
-                    rep = seen.setdefault(own.tobytes(), uid) if n else uid
+                    rep = seen.setdefault(hashes[end - n : end].tobytes(), uid) if n else uid
                     out.append((2, -1, uid, n, rep, int(block.ids[d]), None))
-                    if not n or rep != uid:
-                        continue
-                    order = np.lexsort((own, own_rank))[: prefix_size(n, percent)]
-                    pos = np.flatnonzero(own_rank[order] > 0)  # rank 0: no other document has it
-                    if pos.size:
-                        entry = np.zeros(pos.size, POSTING)
-                        entry["token"], entry["uid"], entry["n"], entry["pos"] = own[order[pos]], uid, n, pos
-                        postings.append(entry)
-                        out.append((1, -1, uid, n, uid, 0, (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                    with_postings |= {d} if n and rep == uid else set()
+                done = 0
+                for tokens, docs, counted in views:
+                    # The order of a view: counted tokens by how common they are, then the others.
+                    rank = np.full(len(tokens), 255, np.uint8)
+                    rank[counted] = grades[done : done + int(counted.sum())]
+                    done += int(counted.sum())
+                    edges = np.append(np.flatnonzero(np.diff(docs, prepend=-1)), len(docs)).tolist()
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        d = int(docs[a])
+                        if d not in with_postings:
+                            continue
+                        own, own_rank = tokens[a:b], rank[a:b]
+                        order = np.lexsort((own, own_rank))[: prefix_size(b - a, percent)]
+                        pos = np.flatnonzero(own_rank[order] > 0)  # rank 0: no other document has it
+                        if pos.size:
+                            entry = np.zeros(pos.size, POSTING)
+                            entry["token"], entry["uid"], entry["n"], entry["pos"] = own[order[pos]], row.block << ROW_BITS | d, b - a, pos
+                            postings.append(entry)
+                for d in sorted({int(e["uid"][0]) & ((1 << ROW_BITS) - 1) for e in postings}):
+                    own = hashes[ends[d] - sizes[d] : ends[d]]
+                    out.append((1, -1, row.block << ROW_BITS | d, len(own), 0, 0, (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
                 if postings:
                     entry = np.concatenate(postings)
                     entry = entry[np.argsort(entry["token"], kind="stable")]
@@ -164,6 +193,24 @@ def _entries(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "token": e["token"].view(np.int64), "uid": e["uid"], "n": e["n"], "pos": e["pos"]})
 
 
+def _borders(percent: int, draw: int):
+    """Pairs next to each other in a token's list that are not connected yet.
+
+    Equal sizes stand in an order drawn for each token, so two groups that share many
+    tokens are tried at many pairs, and one that is similar connects them.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        token, uid = rows["token"].to_numpy(), rows["uid"].to_numpy()
+        drawn = _mix(token.view(np.uint64) ^ (uid.view(np.uint64) + np.uint64(draw)) * BASE)
+        rows = rows.iloc[np.lexsort((drawn, rows["n"].to_numpy(), token))]
+        x, y = rows.iloc[:-1].reset_index(drop=True), rows.iloc[1:].reset_index(drop=True)
+        ok = (x["token"] == y["token"]) & (x["label"] != y["label"]) & _able(x["n"], y["n"], x["pos"], y["pos"], percent)
+        return pd.DataFrame({"u": np.minimum(x["uid"], y["uid"])[ok], "v": np.maximum(x["uid"], y["uid"])[ok]}).drop_duplicates()
+
+    return run
+
+
 def _across(percent: int):
     """Pairs of a token's list whose documents are not connected yet."""
 
@@ -232,14 +279,14 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
 
     A document's set is its distinct shingles of five words. The members of a set are
     ordered by how many documents have them, the rarest first; two similar sets share a
-    member of both prefixes. For every third shingle it is counted over all documents
-    (6 bytes each to its bucket, one byte back); the other two thirds come last, which
-    keeps the order the same everywhere. A prefix member that one document alone has is
-    not sent at all.
+    member of both prefixes. It is counted over all documents (6 bytes a member to its
+    bucket, one byte back), in large sets for every third member; the others come last,
+    which keeps the order the same everywhere. A prefix member that one document alone
+    has is not sent at all.
 
     First only documents next to each other in a token's list are compared, which
-    connects groups of copies at the cost of their size. Then the lists are read again:
-    every pair that shares a prefix token, passes the length and positional filters and
+    connects groups of copies at the cost of their size; two more such rounds try the
+    borders between groups. Then the lists are read again: every pair that shares a prefix token, passes the length and positional filters and
     is not connected yet is verified. So no link between different groups is lost, and
     the pairs inside a connected group are never listed.
 
@@ -251,17 +298,20 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     blocks = pack(docs, id_col, text_col)
-    marked = blocks.join(shared_keys(blocks, _keys_of), "block", "left")
+    marked = blocks.join(shared_keys(blocks, _keys_of(percent)), "block", "left")
     table = cut(marked.mapInPandas(_describe(percent, buckets), "kind int, bucket int, uid long, n int, rep long, doc_id long, payload binary"))
     postings, sets = table.where("kind = 0").select("bucket", "payload"), table.where("kind = 1").select("uid", "payload")
     near = _checked(postings.groupBy("bucket").applyInPandas(_neighbours(percent), "u long, v long"), sets, percent)
     labels = components(near, "u", "v")
     entries = postings.groupBy("bucket").applyInPandas(_entries, "bucket int, token long, uid long, n int, pos int")
-    labelled = entries.join(labels.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
-    others = labelled.groupBy("bucket").applyInPandas(_across(percent), "u long, v long")
-    far = _checked(others, sets, percent)
-    if not far.isEmpty():
-        labels = components(near.union(far), "u", "v")
+    entries = cut(entries)
+    links = near
+    for step in (_borders(percent, 1), _borders(percent, 2), _across(percent)):
+        labelled = entries.join(labels.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
+        more = _checked(labelled.groupBy("bucket").applyInPandas(step, "u long, v long"), sets, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links, "u", "v")
     rows = table.where("kind = 2").select("uid", "doc_id", "n", "rep")
     placed = cut(rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("uid", "doc_id", "n", "component"))
     lowest = cut(placed.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("low")))
