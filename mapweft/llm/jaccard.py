@@ -189,8 +189,17 @@ def _neighbours(percent: int):
 
 
 def _entries(rows: pd.DataFrame) -> pd.DataFrame:
+    """The lists of a bucket, each named by a hash of its members.
+
+    The tokens of a passage mostly have the same documents; under one name they become one list.
+    """
     e = _lists(rows["payload"])
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "token": e["token"].view(np.int64), "uid": e["uid"], "n": e["n"], "pos": e["pos"]})
+    if not len(e):
+        return pd.DataFrame({"list": e["uid"], "uid": e["uid"], "n": e["n"], "pos": e["pos"]})
+    edges = np.flatnonzero(np.diff(e["token"], prepend=e["token"][:1] + np.uint64(1)))
+    sizes = np.diff(np.append(edges, len(e)))
+    name = _mix(np.add.reduceat(_mix(e["uid"].view(np.uint64) * BASE), edges) + sizes.astype(np.uint64))
+    return pd.DataFrame({"list": np.repeat(name, sizes).view(np.int64), "uid": e["uid"], "n": e["n"], "pos": e["pos"]})
 
 
 def _borders(percent: int, draw: int):
@@ -303,7 +312,9 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     postings, sets = table.where("kind = 0").select("bucket", "payload"), table.where("kind = 1").select("uid", "payload")
     near = _checked(postings.groupBy("bucket").applyInPandas(_neighbours(percent), "u long, v long"), sets, percent)
     labels = components(near, "u", "v")
-    entries = postings.groupBy("bucket").applyInPandas(_entries, "bucket int, token long, uid long, n int, pos int")
+    entries = postings.groupBy("bucket").applyInPandas(_entries, "list long, uid long, n int, pos int")
+    # A document's first place in any of the lists of one name: the filters stay safe.
+    entries = entries.groupBy(F.col("list").alias("token"), "uid", "n").agg(F.min("pos").alias("pos")).withColumn("bucket", F.pmod("token", F.lit(buckets)).cast("int"))
     entries = cut(entries)
     links = near
     for step in (_borders(percent, 1), _borders(percent, 2), _across(percent)):
