@@ -118,30 +118,31 @@ def min_rotated_rect(pts: Column) -> Column:
     return run(pts)
 
 
-def grid_path(pts: Column, per_tile: int = 4) -> Column:
+def grid_path(pts: Column) -> Column:
     """A polyline as unit steps along tile corners.
 
-    Samples are rounded to corners; a diagonal step goes through whichever
-    in-between corner lies nearer the line.
+    A point belongs to its nearest corner. Along a segment the corner changes where the
+    segment crosses a line half-way between two corners; the crossings of either axis,
+    in the order they are met (x first at a tie), are the steps. A single point gives its
+    corner, an empty or null list null.
     """
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])))
-    def run(col: pd.Series) -> pd.Series:
-        out = []
-        for row in col:
-            arr = _as_array(row)
-            path: list[tuple[int, int]] = []
-            for a, b in zip(arr[:-1], arr[1:]):
-                steps = max(1, int(np.ceil(np.hypot(*(b - a)) * per_tile)))
-                line = a + (b - a) * (np.arange(steps + 1) / steps)[:, None]
-                for corner, at in zip(np.rint(line).astype(int), line):
-                    here = (int(corner[0]), int(corner[1]))
-                    if path and here == path[-1]:
-                        continue
-                    if path and here[0] != path[-1][0] and here[1] != path[-1][1]:
-                        ways = [(here[0], path[-1][1]), (path[-1][0], here[1])]
-                        path.append(min(ways, key=lambda w: float(np.hypot(w[0] - at[0], w[1] - at[1]))))
-                    path.append(here)
-            out.append([{"x": x, "y": y} for x, y in path])
-        return pd.Series(out)
-
-    return run(pts)
+    def corner(v):
+        return F.floor(v + 0.5).cast("int")
+
+    def crossings(a, b, axis):
+        first, last = corner(a), corner(b)
+        n = F.abs(last - first)
+        turn = F.signum((last - first).cast("double"))
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(((first + turn * (k - 0.5) - a) / (b - a)).alias("t"), F.lit(axis).alias("axis"), k.alias("k")))
+
+    def steps(a, b):
+        met = F.array_sort(F.concat(crossings(a["x"], b["x"], 0), crossings(a["y"], b["y"], 1)))
+        # At place m of the order, the axis that moves has made k steps and the other m + 1 - k.
+        return F.transform(met, lambda s, m: F.struct(
+            (corner(a["x"]) + F.signum((corner(b["x"]) - corner(a["x"])).cast("double")) * F.when(s["axis"] == 0, s["k"]).otherwise(m + 1 - s["k"])).cast("int").alias("x"),
+            (corner(a["y"]) + F.signum((corner(b["y"]) - corner(a["y"])).cast("double")) * F.when(s["axis"] == 1, s["k"]).otherwise(m + 1 - s["k"])).cast("int").alias("y")))
+
+    origin = F.transform(F.slice(pts, 1, 1), lambda p: F.struct(corner(p["x"]).alias("x"), corner(p["y"]).alias("y")))
+    rest = F.transform(F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), lambda q, i: steps(F.get(pts, i), q))
+    return F.when(F.size(pts) > 0, F.concat(origin, F.flatten(rest)))

@@ -12,24 +12,23 @@ def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every endpoint; the component is its smallest id.
 
     Each round is two group-bys with map-side minimums and two joins, and
-    halves the distance to the smallest id, so long chains need few rounds.
+    halves the distance to the smallest id, so long chains need few rounds. It ends
+    when a round changes nothing.
     """
     state = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))
     ends = cut(state.select("u").union(state.select("v")).distinct().withColumnRenamed("u", "id"))
     state = state.where("u <> v")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = cut(_small_star(_large_star(state)))
         mark = tuple(_mark(state))
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return (ends.join(state.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left")
             .select("id", F.coalesce("_c", "id").alias("component")))
 

@@ -212,20 +212,21 @@ def feature_cells(features: DataFrame, key: str, size: int = 300) -> DataFrame:
     return explode_cells(features, b, size).select(key, "cx", "cy")
 
 
-def push_off_road(points: DataFrame, segs: DataFrame, need: float, max_half: float, push: float = 18.0, rounds: int = 6) -> DataFrame:
+def push_off_road(points: DataFrame, segs: DataFrame, need: float, cell: float = 16.0, push: float = 18.0, rounds: int = 6) -> DataFrame:
     """Move points away from the road that crowds them most; drop those that cannot be cleared.
 
     Up to six moves, each a join that keeps only the worst segment of a point.
-    `segs` has ax, ay, bx, by, half and sid. `max_half` bounds half widths.
+    `segs` has ax, ay, bx, by, half and sid; each reaches as far as its own half
+    width asks. `cell` is the side of the buckets.
     """
-    reach = need + max_half
     state = points.select("pid", "x", "y", F.lit(push).alias("left"), F.lit(False).alias("clear"))
     segs = segs.select("ax", "ay", "bx", "by", "half", "sid")
     for _ in range(rounds):
         near = P.segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by"))
-        sb = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
+        wide = c("half") + need
+        sb = (F.least("ax", "bx") - wide, F.least("ay", "by") - wide, F.greatest("ax", "bx") + wide, F.greatest("ay", "by") + wide)
         open_pts = state.where("NOT clear")
-        hits = bucket_join(open_pts.select("pid", "x", "y"), segs, point(c("x"), c("y")), sb, 2 * reach, near < need + c("half"), reach=reach)
+        hits = bucket_join(open_pts.select("pid", "x", "y"), segs, point(c("x"), c("y")), sb, cell, near < need + c("half"))
         t = P.segment_parameter(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by"))
         hits = hits.withColumn("gap", need + c("half") - near).withColumn("t", t) \
             .withColumn("dx", c("x") - (c("ax") + c("t") * (c("bx") - c("ax")))).withColumn("dy", c("y") - (c("ay") + c("t") * (c("by") - c("ay"))))

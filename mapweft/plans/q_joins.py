@@ -236,7 +236,7 @@ def push_off_road(spark, d):
     half = lookup(c("category"), {k: v / 2 for k, v in V.ROAD_WIDTH_M.items()})
     segs = lattice_segments(spark, d).select(*[c(n).cast("double").alias(n) for n in ("ax", "ay", "bx", "by")], "sid", half.alias("half"))
     pts = view(spark, d, VP).select("pid", c("x").cast("double").alias("x"), c("y").cast("double").alias("y"))
-    out = J.push_off_road(pts, segs, need=2.0, max_half=6.0)
+    out = J.push_off_road(pts, segs, need=2.0)
     return out.select("pid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 

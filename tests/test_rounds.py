@@ -203,3 +203,46 @@ def test_region_cover_descends(spark):
     df = spark.createDataFrame(rows, "id string, parent string, s double, w double, n double, e double").withColumn("ring", F.lit(None).cast("array<struct<x:double,y:double>>"))
     assert ids(network.region_cover(df, (1.0, 1.0, 4.0, 4.0))) == ["a1"]
     assert ids(network.region_cover(df, (1.0, 3.0, 4.0, 7.0))) == ["a", "b"]
+
+
+def test_lines_grow_at_both_ends():
+    rings, loose = network._chain_lines([[(1, 0), (2, 0)], [(0, 0), (1, 0)], [(2, 0), (3, 0)]])
+    assert not rings and loose == [[(0, 0), (1, 0), (2, 0), (3, 0)]]
+    rings, loose = network._chain_lines([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)]])
+    assert rings == [[(0, 0), (1, 0), (1, 1), (0, 0)]] and not loose
+
+
+def test_wide_seeds_meet_beyond_the_default_reach(spark):
+    rows = [(1, 0.0, 0.0, 20.0, 3), (2, 30.0, 0.0, 20.0, 3), (3, 100.0, 0.0, 3.0, 3)]
+    got = dict(network.junction_clusters(spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")).collect())
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_way_that_returns_to_its_piece_has_no_segment_across_the_gap(spark):
+    rows = [(0, 1, 1, 1, 20.0, 20.0), (0, 1, 2, 2, 20.0, 0.0), (0, 1, 7, 3, 30.0, 100.0), (0, 1, 8, 4, 30.0, 120.0)]
+    out = {r.vkey: (r.nx, r.ny) for r in network.straighten_network(spark.createDataFrame(rows, "piece long, way_id long, pos long, vkey long, x double, y double")).collect()}
+    assert out == {1: (20, 20), 2: (20, 0), 3: (30, 100), 4: (30, 120)}
+
+
+def test_ramp_follows_more_than_eight_ways(spark):
+    ground = spark.createDataFrame([(i, i, i + 1, 0.0, math.pi, 2.0) for i in range(12)], "gid long, a_key long, b_key long, a_heading double, b_heading double, length double")
+    runs = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 0)], "run long, x double, y double, heading double, end_key long")
+    assert [tuple(r) for r in network.ramp_extension(runs, ground, need=20.0).collect()] == [(7, 20.0, 10, True)]
+
+
+def test_grid_path_steps_along_corners(spark):
+    from mapweft.functions import shapes
+
+    rng = np.random.default_rng(3)
+    lines = [[(float(x), float(y)) for x, y in rng.uniform(-9, 9, (n, 2))] for n in (1, 2, 3, 5, 8)] + [[(0.0, 0.0), (2.0, 2.0)], [(1.5, 1.0), (1.5, 1.0)], []]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in ln]) for i, ln in enumerate(lines)], "i int, pts array<struct<x:double,y:double>>")
+    got = {r.i: r.p and [(p.x, p.y) for p in r.p] for r in df.select("i", shapes.grid_path(F.col("pts")).alias("p")).collect()}
+    assert got.pop(7) is None
+    assert got[5] == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)] and got[6] == [(2, 1)]
+    for i, path in got.items():
+        ends = [tuple(math.floor(v + 0.5) for v in p) for p in lines[i]]
+        assert (path[0], path[-1]) == (ends[0], ends[-1])
+        assert len(path) == 1 + sum(abs(b[0] - a[0]) + abs(b[1] - a[1]) for a, b in zip(ends, ends[1:]))
+        assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:]))
+        fine = {tuple(math.floor(a[k] + (b[k] - a[k]) * t / 4000 + 0.5) for k in (0, 1)) for a, b in zip(lines[i], lines[i][1:]) for t in range(4001)}
+        assert fine <= set(path) | {path[0]}
