@@ -18,6 +18,8 @@ WORDS = 5
 ROW_BITS = 18  # a document's number in its block
 SAMPLE = np.uint64(3)  # of large sets, every third shingle is counted over all documents
 LARGE = 200  # members from which a set is large
+TOGETHER = 4096  # lists of at most so many members go to the task of their least member's hash
+SKETCH_BITS = 4096  # of the widest sketch; wider ones would only make the filter sharper
 SMALL_TOKENS = np.uint64(0xA5A5F00D12345678)  # parts the tokens of small sets from those of large ones
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,6 +112,38 @@ def prefix_size(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One bit for each remainder of the hashes: whether an odd number of members has it.
+
+    The bits in which two sketches differ are at most the members that one set alone has.
+    A sketch of half the width is the exclusive or of the two halves.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << int(2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of the sets of a list, by ascending size, folded to a width when one asks for it."""
+
+    def __init__(self, packed: list[bytes]):
+        self.words = [np.frombuffer(p, np.uint64) for p in packed]
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _at(self, width: int) -> np.ndarray:
+        if width not in self.folded:
+            out = np.zeros((len(self.words), width), np.uint64)
+            for i, w in enumerate(self.words):
+                if len(w) >= width:
+                    out[i] = np.bitwise_xor.reduce(w.reshape(-1, width), axis=0)
+            self.folded[width] = out
+        return self.folded[width]
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """At least so many members stand in one set alone, for set i and each of some sets not smaller."""
+        own = self._at(len(self.words[i]))
+        return np.bitwise_count(own[others] ^ own[i]).sum(axis=1, dtype=np.int64)
+
+
 def _describe(percent: int, buckets: int):
     """Per block: postings of the prefixes, the sets that have any, and a row per document."""
 
@@ -127,7 +161,7 @@ def _describe(percent: int, buckets: int):
                 for d, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
                     uid = row.block << ROW_BITS | d
                     rep = seen.setdefault(hashes[end - n : end].tobytes(), uid) if n else uid
-                    out.append((2, -1, uid, n, rep, int(block.ids[d]), None))
+                    out.append((2, -1, uid, n, rep, int(block.ids[d]), None, None))
                     with_postings |= {d} if n and rep == uid else set()
                 done = 0
                 for tokens, docs, counted in views:
@@ -149,15 +183,15 @@ def _describe(percent: int, buckets: int):
                             postings.append(entry)
                 for d in sorted({int(e["uid"][0]) & ((1 << ROW_BITS) - 1) for e in postings}):
                     own = hashes[ends[d] - sizes[d] : ends[d]]
-                    out.append((1, -1, row.block << ROW_BITS | d, len(own), 0, 0, (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                    out.append((1, -1, row.block << ROW_BITS | d, len(own), 0, 0, (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), sketch(own)))
                 if postings:
                     entry = np.concatenate(postings)
                     entry = entry[np.argsort(entry["token"], kind="stable")]
                     bucket = ((entry["token"] >> np.uint64(34)) * np.uint64(buckets) >> np.uint64(30)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                     for a, b in zip(edges, np.append(edges[1:], len(entry)), strict=True):
-                        out.append((0, int(bucket[a]), 0, 0, 0, 0, zstandard.compress(entry[a:b].tobytes(), 1)))
-                yield pd.DataFrame(out, columns=["kind", "bucket", "uid", "n", "rep", "doc_id", "payload"])
+                        out.append((0, int(bucket[a]), 0, 0, 0, 0, zstandard.compress(entry[a:b].tobytes(), 1), None))
+                yield pd.DataFrame(out, columns=["kind", "bucket", "uid", "n", "rep", "doc_id", "payload", "sketch"])
 
     return run
 
@@ -221,20 +255,25 @@ def _borders(percent: int, draw: int):
 
 
 def _across(percent: int):
-    """Pairs of a token's list whose documents are not connected yet."""
+    """Pairs of a token's list whose documents are not connected yet and whose sketches allow it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["token", "n", "uid"], kind="stable")
         token, label = rows["token"].to_numpy(), rows["label"].to_numpy()
         uid, n, pos = rows["uid"].to_numpy(), rows["n"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64)
+        packed = rows["sketch"].tolist()
         edges = np.append(np.flatnonzero(np.diff(token, prepend=token[:1] - 1)), len(token))
         found = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if (label[a:b] == label[a]).all():
                 continue
+            sketches = Sketches(packed[a:b])
             for i in range(a, b - 1):  # sizes ascend, so the partners of i are a stretch
                 j = np.arange(i + 1, a + np.searchsorted(n[a:b], n[i] * 100 // percent, "right"))
                 j = j[(label[j] != label[i]) & _able(n[i], n[j], pos[i], pos[j], percent)]
+                if j.size:  # the members that one of them may have alone
+                    most = n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
+                    j = j[sketches.differ(i - a, j - a) <= most]
                 if j.size:
                     found.append(np.column_stack([np.full(j.size, uid[i]), uid[j]]))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -295,8 +334,11 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
 
     First only documents next to each other in a token's list are compared, which
     connects groups of copies at the cost of their size; two more such rounds try the
-    borders between groups. Then the lists are read again: every pair that shares a prefix token, passes the length and positional filters and
-    is not connected yet is verified. So no link between different groups is lost, and
+    borders between groups. Then the lists are read again: every pair that shares a prefix
+    token, passes the length and positional filters, whose parity sketches do not differ in
+    more bits than similar sets may have members apart, and that is not connected yet is
+    verified. Lists that share most members mostly meet in one task, which names a pair once.
+    The sketch, too, drops only pairs that cannot be similar. So no link between different groups is lost, and
     the pairs inside a connected group are never listed.
 
     Returns doc_id, n_shingles, component_id (smallest id in reach, or its own) and kept
@@ -308,18 +350,25 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     buckets = buckets_of(spark)
     blocks = pack(docs, id_col, text_col)
     marked = blocks.join(shared_keys(blocks, _keys_of(percent)), "block", "left")
-    table = cut(marked.mapInPandas(_describe(percent, buckets), "kind int, bucket int, uid long, n int, rep long, doc_id long, payload binary"))
+    table = cut(marked.mapInPandas(_describe(percent, buckets), "kind int, bucket int, uid long, n int, rep long, doc_id long, payload binary, sketch binary"))
     postings, sets = table.where("kind = 0").select("bucket", "payload"), table.where("kind = 1").select("uid", "payload")
     near = _checked(postings.groupBy("bucket").applyInPandas(_neighbours(percent), "u long, v long"), sets, percent)
     labels = components(near, "u", "v")
     entries = postings.groupBy("bucket").applyInPandas(_entries, "list long, uid long, n int, pos int")
     # A document's first place in any of the lists of one name: the filters stay safe.
-    entries = entries.groupBy(F.col("list").alias("token"), "uid", "n").agg(F.min("pos").alias("pos")).withColumn("bucket", F.pmod("token", F.lit(buckets)).cast("int"))
+    entries = entries.groupBy(F.col("list").alias("token"), "uid", "n").agg(F.min("pos").alias("pos"))
     entries = cut(entries)
     links = near
-    for step in (_borders(percent, 1), _borders(percent, 2), _across(percent)):
-        labelled = entries.join(labels.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
-        more = _checked(labelled.groupBy("bucket").applyInPandas(step, "u long, v long"), sets, percent)
+    last = _across(percent)
+    for step in (_borders(percent, 1), _borders(percent, 2), last):
+        labelled = entries.join(labels.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component")
+        lists = labelled.groupBy("token").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.min(F.xxhash64("uid")).alias("least")
+        ).where("low <> high")  # the others have nothing left to connect
+        home = F.when(F.col("members") <= TOGETHER, F.col("least")).otherwise(F.col("token"))
+        dealt = labelled.join(lists.select("token", F.pmod(home, F.lit(buckets)).cast("int").alias("bucket")), "token")
+        dealt = dealt.join(table.where("kind = 1").select("uid", "sketch"), "uid") if step is last else dealt
+        more = _checked(dealt.groupBy("bucket").applyInPandas(step, "u long, v long"), sets, percent)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links, "u", "v")

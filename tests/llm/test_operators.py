@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mapweft.llm import bpe, chat, media, toxicity
 from mapweft.llm.components import components
-from mapweft.llm.jaccard import similar_documents, suffix_able
+from mapweft.llm.jaccard import Sketches, similar_documents, sketch, suffix_able
 from mapweft.llm.lines import drop_spread_lines
 from mapweft.llm.mixing import mix
 from mapweft.llm.near_vectors import link_vectors
@@ -385,3 +385,41 @@ def test_slices_do_not_change_a_score(monkeypatch):
     whole = [x.tolist() for x in toxicity._hits(texts, slot)]
     monkeypatch.setattr(toxicity, "SLICE", 64)
     assert [x.tolist() for x in toxicity._hits(texts, slot)] == whole
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 40, 120, 500, 520, 640, 5000, 5100)]
+    sets += [np.concatenate([sets[4][:450], sets[5][:80]]), sets[4].copy(), np.concatenate([sets[7], sets[2]])]
+    sets.sort(key=len)
+    sketches = Sketches([sketch(s) for s in sets])
+    for i in range(len(sets) - 1):
+        others = np.arange(i + 1, len(sets))
+        bound = sketches.differ(i, others)
+        apart = [len(np.setxor1d(sets[i], sets[j])) for j in others]
+        assert (bound <= apart).all()
+        assert all(b == 0 for b, a in zip(bound, apart, strict=True) if a == 0)
+
+
+def test_large_sets_around_the_limit_are_linked_as_by_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(230)], []
+    for k in range(70):  # one passage with own words around it: similarities from far below to above the limit
+        own = [word() for _ in range(rng.choice([6, 14, 22, 26, 30, 60]))]
+        texts.append(" ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :]))
+    for k in range(12):
+        w = texts[k].split()
+        w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert 1 < len(set(parent)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(docs).collect()}
+    assert got == {d: (len(sets[d]), parent[d]) for d in range(len(texts))}
