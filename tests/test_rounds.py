@@ -246,3 +246,20 @@ def test_grid_path_steps_along_corners(spark):
         assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:]))
         fine = {tuple(math.floor(a[k] + (b[k] - a[k]) * t / 4000 + 0.5) for k in (0, 1)) for a, b in zip(lines[i], lines[i][1:]) for t in range(4001)}
         assert fine <= set(path) | {path[0]}
+
+
+def test_clusters_of_one_component_over_many_blocks(spark):
+    """A street of seeds in rank order and a dense town, both longer than a block, as the sequential walk has them."""
+    rng = np.random.default_rng(29)
+    rows = [(i, 10.0 * i, 0.0, 6.0, 3) for i in range(24)]
+    rows += [(1000 + i, float(x), float(y), float(rng.choice([3.5, 6.0, 12.0])), 3) for i, (x, y) in enumerate(rng.integers(300, 380, (30, 2)))]
+    df = spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")
+    want = clusters_by_hand(rows)
+    assert dict(network.junction_clusters(df, side=100.0).collect()) == want
+    assert dict(network.junction_clusters(df).collect()) == want
+
+
+def test_dead_ends_do_not_name_a_cluster(spark):
+    rows = [(1, 0.0, 0.0, 6.0, 1), (2, 4.0, 0.0, 6.0, 3), (3, 8.0, 0.0, 6.0, 4)]
+    got = dict(network.junction_clusters(spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")).collect())
+    assert got == {1: 1, 2: 2, 3: 2}
