@@ -50,9 +50,18 @@ MEMBERS = f"""sd AS (SELECT vkey, min(x) AS x, min(y) AS y FROM v_vertex WHERE v
  mem AS (SELECT *, (x // 64) * 100000 + y // 64 AS cluster FROM sd)"""
 
 
+def junction_seeds(spark, d):
+    """Vertices with three links or more, and those under a turning circle, turning loop or mini roundabout."""
+    v = view(spark, d, VX)
+    turns = view(spark, d, VC).where(c("on_vertex") & c("highway").isin("turning_circle", "turning_loop", "mini_roundabout")).select(c("near_key").alias("vkey")).distinct()
+    deg = R.vertex_degree(lattice_segments(spark, d)).join(turns.withColumn("turn", F.lit(True)), "vkey", "left").where("seed OR turn").select("vkey", "links")
+    at = v.groupBy("vkey").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(lookup(c("category"), V.ROAD_WIDTH_M)).alias("width"))
+    return at.join(deg, "vkey")
+
+
 @query("junction_clusters")
 def junction_clusters(spark, d):
-    return N.junction_clusters(seeds(spark, d))
+    return N.junction_clusters(junction_seeds(spark, d))
 
 
 @query("junction_centre", f"WITH {SEGMENTS}, {CUTS}, {MEMBERS} SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM mem GROUP BY cluster", [VX])

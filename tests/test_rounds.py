@@ -263,3 +263,17 @@ def test_dead_ends_do_not_name_a_cluster(spark):
     rows = [(1, 0.0, 0.0, 6.0, 1), (2, 4.0, 0.0, 6.0, 3), (3, 8.0, 0.0, 6.0, 4)]
     got = dict(network.junction_clusters(spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")).collect())
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_junction_seeds_have_three_links_or_a_turning_node(spark):
+    from mapweft.operators import roads
+    from mapweft.plans import q_network
+    from mapweft.plans.q_joins import lattice_segments
+    from mapweft.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    links = {r.vkey: r.links for r in roads.vertex_degree(lattice_segments(spark, sf)).collect()}
+    turns = {r.near_key for r in view(spark, sf, "v_control").where("on_vertex AND highway = 'mini_roundabout'").collect()}
+    got = {r.vkey for r in q_network.junction_seeds(spark, sf).collect()}
+    assert got == {k for k, n in links.items() if n >= 3 or k in turns}
+    assert min(links[k] for k in got) < 6
