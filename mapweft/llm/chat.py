@@ -60,8 +60,9 @@ class _Windows:
     """Cuts one conversation, turn by turn, into windows of at most `budget` tokens.
 
     A turn-aligned span from prefix sum a to b costs b - a. A window is the leading
-    system turn, then at most `history` turns (and tokens) of the span before, then the
-    new span. A turn too long for the budget has a window of its own, whole.
+    system turn, then at most `history` turns (and tokens) of the span before, as far as the
+    budget has room beside the first new turn, then the new span. A turn too long for the
+    budget with the system turn has a window of its own, whole.
     """
 
     budget: int
@@ -82,6 +83,10 @@ class _Windows:
             self.system = turn
         if self.fresh and turn.after - self._from() + self._fixed() > self.budget:
             yield self.close()
+        if not self.fresh:
+            kept = turn_tokens(self.system.rendered) if self.system is not None and self.system is not turn else 0
+            while self.past and turn.after - self.past[0].before + kept > self.budget:
+                self.past.pop(0)
         self.fresh.append(turn)
 
     def _from(self) -> int:

@@ -313,6 +313,22 @@ def test_chat_round_trip(spark):
     assert chat.read_windows(chat.format_conversations(frame.limit(0))).count() == 0
 
 
+def test_chat_history_gives_way_to_a_long_turn(spark):
+    rng = random.Random(9)
+    table = []
+    for c in range(40):
+        for t in range(30):
+            role = "system" if t == 0 and c % 2 else "user" if t % 2 else "assistant"
+            table.append((c, t, role, "x" * rng.choice([40, 200, 460, 1700, 1900, 2500])))
+    shown = chat.format_conversations(spark.createDataFrame(table, "conv_id long, turn long, role string, text string")).collect()
+    for r in shown:
+        costs = [chat.turn_tokens(t[0]) for t in chat.TURN.finditer(r.formatted)]
+        own = chat.parse_window(r.formatted)
+        head = costs[0] if r.repeated and own[0][0] == "system" else 0
+        assert sum(costs) <= 512 or (r.new_turns == 1 and head + costs[-1] > 512 and len(costs) == 1 + bool(head))
+    assert any(r.repeated > 1 for r in shown)
+
+
 def test_media_round_trip(spark, docs, data, nothing, tmp_path):
     got = media.media_features(media.store_and_scan(docs, range_bytes=2000)).collect()
     want = Counter()
