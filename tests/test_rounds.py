@@ -277,3 +277,28 @@ def test_junction_seeds_have_three_links_or_a_turning_node(spark):
     got = {r.vkey for r in q_network.junction_seeds(spark, sf).collect()}
     assert got == {k for k, n in links.items() if n >= 3 or k in turns}
     assert min(links[k] for k in got) < 6
+
+
+def test_a_long_chain_of_ranks_is_settled(spark):
+    pts = [(i, i, 5.0 * i, 0.0) for i in range(1100)]
+    df = spark.createDataFrame(pts, "id long, rank long, x double, y double")
+    assert ids(greedy.spaced_points(df, 7.0)) == list(range(0, 1100, 2))
+    assert greedy.spaced_points(df.limit(0), 7.0).count() == 0
+
+
+def test_a_long_row_of_falling_sizes_is_thinned(spark):
+    rows = [(i, 6.0 * i, 0.0, 900 - i, 20, "shed") for i in range(700)]
+    kept, want = [], {}
+    for i, x, _y, area, long_side, _kind in rows:
+        w = math.sqrt(area)
+        if any(x - a < V.THIN_GAP * (w + ow) / 2 for a, ow in kept[-20:]):
+            want[i] = False
+            continue
+        factor = 1.0 if area >= V.HOUSE_TILES else min(1.9, math.sqrt(V.HOUSE_TILES / area), max(1.0, 60 / long_side))
+        for a, ow in kept:
+            gap = x - a - ow / 2
+            factor = 1.0 if gap <= 0 else min(factor, 2 * gap / max(1.0, w))
+        kept.append((x, w * max(1.0, factor)))
+        want[i] = True
+    df = spark.createDataFrame(rows, "id long, x double, y double, area long, long_side long, kind string")
+    assert {r.id: r.kept for r in network.thin_and_grow(df).collect()} == want
