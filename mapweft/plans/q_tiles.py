@@ -196,9 +196,9 @@ def connected_tiles(spark, d):
 def street_blocks(spark, d):
     """Blocks on the street lattice: one cell per lattice node."""
     v = view(spark, d, VX)
-    streets = v.where("category <> 'road_minor'").select(F.floor(c("x") / 8).alias("tx"), F.floor(c("y") / 8).alias("ty")).distinct()
+    streets = v.select(F.floor(c("x") / 8).alias("tx"), F.floor(c("y") / 8).alias("ty")).distinct()
     built = view(spark, d, VB).select(F.floor(c("x0") / 8).alias("tx"), F.floor(c("y0") / 8).alias("ty")).distinct()
-    return GR.block_density(streets, built, least=5, dense=0.05)
+    return GR.block_density(streets, built)
 
 
 @query("block_density")

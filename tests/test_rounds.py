@@ -302,3 +302,15 @@ def test_a_long_row_of_falling_sizes_is_thinned(spark):
         want[i] = True
     df = spark.createDataFrame(rows, "id long, x double, y double, area long, long_side long, kind string")
     assert {r.id: r.kept for r in network.thin_and_grow(df).collect()} == want
+
+
+def test_blocks_lie_between_all_streets(spark):
+    from mapweft.plans import q_tiles
+    from mapweft.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    blocks, runs = q_tiles.street_blocks(spark, sf)
+    open_tiles = {(x, r.ty) for r in runs.collect() for x in range(r.x0, r.x1)}
+    streets = {(r.tx, r.ty) for r in view(spark, sf, "v_vertex").selectExpr("x div 8 AS tx", "y div 8 AS ty").distinct().collect()}
+    assert streets and not streets & open_tiles
+    assert all(r.dense == (r.area > 50 and r.built / r.area >= V.DENSE) for r in blocks.collect())
