@@ -318,7 +318,7 @@ def clip_to_cell(spark, d):
 def cell_point_budget(spark, d):
     b = view(spark, d, VB).select(F.floor(c("x0") / 300).alias("cx"), F.floor(c("y0") / 300).alias("cy"), (c("fid") % 3).cast("int").alias("layer"), c("fid").alias("key"), (c("w") * c("h")).alias("box_area"),
                                   *[(8 + c("fid") % (20 - 4 * i)).cast("int").alias(f"n{i}") for i in range(4)])
-    return N.cell_point_budget(b, 500)
+    return N.cell_point_budget(b)
 
 
 @query("street_table")

@@ -314,3 +314,14 @@ def test_blocks_lie_between_all_streets(spark):
     streets = {(r.tx, r.ty) for r in view(spark, sf, "v_vertex").selectExpr("x div 8 AS tx", "y div 8 AS ty").distinct().collect()}
     assert streets and not streets & open_tiles
     assert all(r.dense == (r.area > 50 and r.built / r.area >= V.DENSE) for r in blocks.collect())
+
+
+def test_cell_point_budget_keeps_cells_within_the_reference_budget(spark):
+    from mapweft.plans import q_network
+    from mapweft.plans.views import view
+
+    sf = "/root/testdata/sf0.01"
+    b = view(spark, sf, "v_building").selectExpr("fid", "x0 div 300 AS cx", "y0 div 300 AS cy", "8 + fid % 20 AS n0")
+    want = {r.fid: r.n0 for r in b.join(b.groupBy("cx", "cy").agg(F.sum("n0").alias("s")).where("s <= 15000"), ["cx", "cy"]).collect()}
+    got = {r.key: r.n for r in q_network.cell_point_budget(spark, sf).collect()}
+    assert want and all(got.get(k) == n for k, n in want.items())
