@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapweft.llm import q_native, q_near, q_text
+from mapweft.llm import q_native, q_near, q_search, q_text
 
-QUERIES = {**q_native.QUERIES, **q_near.QUERIES, **q_text.QUERIES}
-ORACLES = {**q_native.ORACLES}
+QUERIES = {**q_native.QUERIES, **q_near.QUERIES, **q_text.QUERIES, **q_search.QUERIES}
+ORACLES = {**q_native.ORACLES, **q_search.ORACLES}
