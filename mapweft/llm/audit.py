@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweft.session import cut
+
 CAPITALS = bytes(range(65, 91))
 SYMBOLS = re.compile(r"[#$%&*|]")
 PASS, FAIL, ALL = (1, 0), (0, 1), (1, 1)
@@ -76,10 +78,10 @@ def joint_failures(
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
     marked = rows.join(marks, "doc_id", "left").withColumns({"good": F.coalesce("good", F.lit(0)), "toxic": F.coalesce("toxic", F.lit(0))})
     # Rows of one id are unique in a group, so the count beside the smallest id is that of its first document.
-    groups = marked.groupBy("key", "cell", "part", "good", "toxic").agg(
+    groups = cut(marked.groupBy("key", "cell", "part", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("n_low"),
         F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-    )
+    ))
     first = groups.groupBy("key").agg(F.min("low").alias("first"))
     fresh = F.col("n_null") + F.when(F.col("low") == F.col("first"), F.col("n_low")).otherwise(F.lit(0))
     split = groups.join(first, "key").withColumn("fresh", fresh).select(

@@ -16,7 +16,8 @@ BITS = 62  # length of a hash string
 MISS = 0.05  # largest chance to miss a vector as near as the last one wanted
 FIRST = 64  # candidates, over all trees, at which the first descent stops
 SHARD_ROWS = 262_144  # most vectors of one forest: bounds the memory of its task
-LEAST_ROWS = 4096  # below this a forest is not split to occupy more tasks
+LEAST_ROWS = 256  # below this a forest is not split to occupy more tasks
+SCOUTS = 16  # forests that a query visits before its bound is known
 SEED = 20
 
 
@@ -175,6 +176,9 @@ def _walk(k: int, trees: int, miss: float, first: int, seed: int):
                 known = None if np.isposinf(bounds).all() else bounds[one]
                 out: list[tuple] = []
                 for g, (ids, own, scores) in enumerate(forest.search(vectors[one], known, first, miss)):
+                    if known is not None:  # what is below the bound cannot be among the k best
+                        able = scores >= known[g]
+                        ids, own, scores = ids[able], own[able], scores[able]
                     for i in asked[at[g] : at[g + 1]]:
                         others = own != rows["row"].iat[i]
                         out.append((rows["row"].iat[i], rows["vec_id"].iat[i], ids[others][:k], own[others][:k], scores[others][:k]))
@@ -194,13 +198,15 @@ def nearest(
     """The k vectors of greatest inner product with each query, among all rows but its own.
 
     `queries` is a condition on the input's rows. The rows are dealt into shards of bounded
-    size; a shard's forest lies sorted in one task and all queries stream past it. First
-    each query descends to its longest prefixes, and the trees ascend together until they
-    hold `first` candidates; the k-th best of all shards is a bound for the answer. Then
-    the trees ascend again, to the depth at which a vector as good as that bound is missed
-    by all of them with chance `miss` at most. Near neighbours are found deep in the
-    trees; where vectors are hardly nearer than chance, the ascent goes far up, and at
-    the root every row is a candidate: there is no cap on candidates.
+    size, as many as there are tasks to fill until they reach that size; a shard's forest
+    lies sorted in one task and all queries stream past it. First each query descends to
+    its longest prefixes in up to SCOUTS shards, and their trees ascend together until they
+    hold `first` candidates; the k-th best of these is a bound for the answer. Then it
+    visits every shard, and the trees ascend to the depth at which a vector as good as
+    that bound is missed by all of them with chance `miss` at most; only what reaches the
+    bound is returned. Near neighbours are found deep in the trees; where vectors are
+    hardly nearer than chance, the ascent goes far up, and at the root every row is a
+    candidate: there is no cap on candidates.
 
     Returns query_id, rank (from 1), vec_id and score (inner product in double precision),
     fewer than k rows if there are fewer candidates; ties go to the smaller vec_id.
@@ -212,10 +218,10 @@ def nearest(
     spark = vectors.sparkSession
     vector = F.col(vector_col).cast("array<double>")
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = F.exists("vector", lambda x: x != 0)
+    sound = ~odd & F.exists("vector", lambda x: x != 0)
     narrow = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     frame = cut(
-        narrow.where("vec_id IS NOT NULL AND vector IS NOT NULL").where(~odd & some)
+        narrow.where("vec_id IS NOT NULL AND vector IS NOT NULL").where(sound)
         .withColumn("row", F.monotonically_increasing_id()).withColumn("dims", F.size("vector"))
     )
     n = frame.count()
@@ -224,16 +230,20 @@ def nearest(
     columns = ["dims", "shard", "asks", "row", "vec_id", "vector", "bound"]
     missing = F.lit(float("inf"))
     members = frame.withColumns({"shard": F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"), "asks": F.lit(False), "bound": missing}).select(columns)
-    asked = frame.where("asks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asking = frame.where("asks")
+    asked = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # Scouts start anywhere and go on to the next shards.
+    some = F.sequence(F.lit(0), F.lit(min(SCOUTS, shards) - 1))
+    scouts = asking.withColumn("_step", F.explode(some)).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(seed)) + F.col("_step"), F.lit(shards)).cast("int"))
     schema = "asker long, query_id long, vec_id long, row long, score double"
 
     def visit(asking: DataFrame) -> DataFrame:
-        met = members.unionByName(asking.select(columns)).repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "asks", "row")
+        met = members.unionByName(asking.select(columns)).repartitionById(shards, "shard").sortWithinPartitions("dims", "shard", "asks", "row")
         found = met.mapInPandas(_walk(k, trees, miss, first, seed), schema)
         best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    bounds = visit(asked.withColumn("bound", missing)).where(F.col("rank") == k).select(F.col("asker").alias("row"), F.col("score").alias("bound"))
+    bounds = visit(scouts.withColumn("bound", missing)).where(F.col("rank") == k).select(F.col("asker").alias("row"), F.col("score").alias("bound"))
     # Without k candidates so far there is no bound, and the ascent goes to the root.
     again = asked.join(cut(bounds), "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     return visit(again).select("query_id", "rank", "vec_id", "score")

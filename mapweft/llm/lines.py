@@ -14,6 +14,14 @@ ERROR = 1.04 / 2 ** (LG_K / 2)
 BROADCAST_LINES = 500_000
 
 
+def fresh_name(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _key(line):
     """128 bits that stand for a line."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
@@ -40,9 +48,9 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 5.0) -> DataF
     estimate = cut(estimate.where(F.col("sites") >= min_sites - slack))
     sure = estimate.where(F.col("sites") > min_sites + slack).select("key", "first_id")
     near = estimate.where(F.col("sites") <= min_sites + slack).select("key")
+    # The count leaves null sites out; the smallest id is that of all rows, as in the sure ones.
     exact = (
-        pairs.where("site IS NOT NULL").join(near, "key", "left_semi")
-        .groupBy("key").agg(F.count("site").alias("sites"), F.min("first_id").alias("first_id"))
+        pairs.join(near, "key", "left_semi").groupBy("key").agg(F.count("site").alias("sites"), F.min("first_id").alias("first_id"))
         .where(F.col("sites") >= min_sites).select("key", "first_id")
     )
     return sure.unionByName(exact)
@@ -53,10 +61,10 @@ def drop_spread_lines(
 ) -> DataFrame:
     """Remove lines that stand on `min_sites` sites or more, but for their first document.
 
-    A line is what stands between two newlines, compared as it is; lines of white space
-    only always stay. The document with the smallest id keeps its copy, so that a text
-    copied over many sites survives once. Returns the input's columns with the text
-    shortened, and n_lines and n_removed.
+    A line is what stands between two newlines, compared as it is; lines of ASCII white
+    space only always stay. The document with the smallest id keeps its copy, so that a
+    text copied over many sites survives once; it may be one without a site. Returns the
+    input's columns with the text shortened, and n_lines and n_removed.
 
     Null text stays null (0 lines). A null site is no site. Rows with a null id never
     keep a copy. Repeated rows are treated alike. Empty input: no rows. Input columns
@@ -66,22 +74,23 @@ def drop_spread_lines(
     lines = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(_lines(text_col))).alias("line"),
-        ).where(F.trim("line") != "").select("doc_id", "site", _key(F.col("line")).alias("key"))
+        ).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "site", _key(F.col("line")).alias("key"))
     )
     bad = cut(spread_lines(lines, min_sites))
     if bad.count() <= BROADCAST_LINES:
         bad = F.broadcast(bad)
+    own, gone, kept = (fresh_name(frame.columns, c) for c in ("_id", "_bad", "_kept"))
     hits = (
         lines.join(bad, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("_bad")).withColumnRenamed("doc_id", "_id")
+        .groupBy("doc_id").agg(F.collect_set("key").alias(gone)).withColumnRenamed("doc_id", own)
     )
-    joined = frame.join(hits, frame[id_col].eqNullSafe(hits["_id"]), "left")
-    kept = F.when(F.col("_bad").isNull(), _lines(text_col)).otherwise(
-        F.filter(_lines(text_col), lambda x: ~F.array_contains(F.col("_bad"), _key(x)))
+    joined = frame.join(hits, frame[id_col].eqNullSafe(hits[own]), "left")
+    left = F.when(F.col(gone).isNull(), _lines(text_col)).otherwise(
+        F.filter(_lines(text_col), lambda x: ~F.array_contains(F.col(gone), _key(x)))
     )
-    names = [F.col(c) if c != text_col else F.when(F.col(c).isNotNull(), F.array_join("_kept", "\n")).alias(c) for c in frame.columns]
+    names = [F.col(c) if c != text_col else F.when(F.col(c).isNotNull(), F.array_join(kept, "\n")).alias(c) for c in frame.columns]
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(text_col)))
-    return joined.withColumn("_kept", kept).select(
+    return joined.withColumn(kept, left).select(
         *names, n.cast("long").alias("n_lines"),
-        (n - F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_kept"))).cast("long").alias("n_removed"),
+        (n - F.when(F.col(text_col).isNull(), 0).otherwise(F.size(kept))).cast("long").alias("n_removed"),
     )

@@ -56,15 +56,16 @@ def mix(
 
     Returns doc_id, source, size, source_size, target, taken and the `keep` columns. Null
     text has size 0, an empty source target 0. Repeated rows are taken one by one. Empty
-    input: no rows. Reruns agree, because nothing depends on partitioning.
+    input: no rows. Reruns agree, because nothing depends on partitioning: rows of one id and
+    size are told apart by a hash of their text. Texts of any length are only counted.
     """
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.col(source_col).isNull().alias("_last"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_draw"),
-        *[F.col(c) for c in keep],
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"), *[F.col(c) for c in keep],
     )
     # One global order serves every source: a source is a stretch of it, however large.
-    placed = cut(with_prefix(narrow, ["_last", "source", "_draw", "doc_id", "size"], "size", "_rank", "_start"))
+    placed = cut(with_prefix(narrow, ["_last", "source", "_draw", "doc_id", "size", "_words"], "size", "_rank", "_start"))
     sums = placed.groupBy("_last", "source").agg(F.sum("size").alias("source_size"), F.min("_start").alias("_source_start"))
     ranked = with_prefix(sums, ["_last", "source"], "source_size", "_order", "_ignored").drop("_ignored")
     choices = F.array(*[F.lit(w) for w in weights])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from mapweft.llm.components import components
 from mapweft.llm.prefix import with_prefix
 from mapweft.session import cut
 
-BLOCK = 4096  # rows that travel together
+BLOCK = 4096  # rows that travel together, at least
+MOST = 65_536  # and at most: what a task of two blocks holds
 TILE = 1024  # rows compared at once
 STAGES = (8, 24)  # leading axes after which the bound is tested
 SLACK = 1e-9  # room for rounding in a bound; the last test is exact
@@ -108,47 +110,71 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links between all vectors by cosine, and their components.
 
-    Equal vectors are first counted as one. The distinct ones are ordered along the
-    widest axis and dealt into blocks; every two blocks meet in one task, which counts
-    links and returns for each linked vector the smallest id in its local component, so
-    that a pile of n near-equal vectors gives rows in the order of n, not of its pairs.
+    Equal vectors are first counted as one, under a number of their own. The distinct ones
+    are ordered by their angle to the widest axis and dealt into blocks; two vectors differ
+    in that angle by no more than they do from each other, so a vector is sent to another
+    block only if its angle is near enough to that block's. Two blocks meet in one task,
+    which counts links and returns for each linked vector the smallest number in its local
+    component, so that a pile of n near-equal vectors gives rows in the order of n, not of
+    its pairs. There are as many blocks as keep the tasks busy, and no more until they
+    reach their greatest size, since each vector may be sent once a block.
 
     Returns vec_id, n_links, component_id and kept, a row for each input row. Vectors
     that are null, empty or zero, or hold null or non-finite components, link with
     nothing; so do rows with a null id, and vectors of different lengths with each other.
-    Repeated rows are vectors of their own. Empty input: no rows. Other columns are not carried.
+    Repeated rows are vectors of their own, and different vectors may share an id: they keep
+    their own links. A cosine that rounds to the threshold or more is a link. Empty input:
+    no rows. Other columns are not carried.
     """
     frame = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     zero = F.lit(0).cast("double")
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & ~odd & (F.aggregate("vector", zero, lambda s, x: F.greatest(s, F.abs(x).cast("double"))) > 0), F.lit(False))
     frame = frame.withColumn("vector", F.when(sound, F.col("vector")))
-    single = cut(frame.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    single = cut(
+        frame.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("key", F.monotonically_increasing_id())
+    )
     n, dims = single.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     if not n:
         return frame.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     axes = principal_axes(single, dims)
     first_axis = axes[:, 0].tolist()
-    # The position along the widest axis, up to rounding; only the order of blocks hangs on it.
-    along = F.aggregate(F.zip_with("vector", F.array(*[F.lit(x) for x in first_axis]), lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero)), zero, lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("vector", zero, lambda s, x: s + x * x))
-    placed = with_prefix(single.withColumn("along", along / norm), ["along", "rep"], "copies", "rank", "_ignored")
-    blocks = -(-n // BLOCK)
-    met = placed.select(
-        "rep", "copies", "vector", (F.col("rank") / BLOCK).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"),
-    ).select("rep", "copies", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    total = lambda values: F.aggregate(values, zero, lambda s, x: s + x)
+    top = F.aggregate("vector", zero, lambda s, x: F.greatest(s, F.abs(x).cast("double")))
+    scaled = F.transform("vector", lambda x: x / F.col("top"))  # no overflow in the squares
+    along = total(F.zip_with("scaled", F.array(*[F.lit(x) for x in first_axis]), lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero)))
+    cosine = along / F.sqrt(total(F.transform("scaled", lambda x: x * x)))
+    turned = single.withColumn("top", top).withColumn("scaled", scaled).withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    placed = with_prefix(turned.drop("top", "scaled"), ["angle", "key"], "copies", "rank", "_ignored")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-n // MOST), min(-(-n // BLOCK), math.ceil(2 * math.sqrt(parts))))
+    placed = cut(placed.withColumn("block", F.floor(F.col("rank") * blocks / n).cast("int")))
+    # Least and greatest angle of each block: both ascend with the block.
+    edges = placed.groupBy("block").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("block").collect()
+    names, lows, highs = (np.array([e[i] for e in edges]) for i in range(3))
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    @F.pandas_udf("array<int>")
+    def within_reach(angles: pd.Series) -> pd.Series:
+        first = np.searchsorted(highs, angles.to_numpy() - reach)
+        stop = np.searchsorted(lows, angles.to_numpy() + reach, "right")
+        return pd.Series([names[a:b].tolist() for a, b in zip(first, stop, strict=True)])
+
+    met = placed.select("key", "copies", "vector", "block", F.explode(within_reach("angle")).alias("other")).select(
+        "key", "copies", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "rep"], kind="stable")
-        reps, copies = rows["rep"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
+        rows = rows.sort_values(["block", "key"], kind="stable")
+        keys, copies = rows["key"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
         lens = rows["vector"].map(len).to_numpy()
         units = _units(_matrix(rows["vector"], dims))
         cut_at = int((rows["block"] == key[0]).sum())
         same = key[0] == key[1]
         a, b, shift = (units, units, 0) if same else (units[:cut_at], units[cut_at:], cut_at)
-        links, label = np.zeros(len(reps), np.int64), np.arange(len(reps))
-        order = np.argsort(reps, kind="stable")  # labels are places in the order of ids
+        links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        order = np.argsort(keys, kind="stable")  # labels are places in the order of keys
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         for i, j in compare(a, b, axes, threshold, same):
@@ -159,14 +185,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
             np.add.at(links, j, copies[i])
             label = join_labels(label, place[i], place[j])
         some = np.flatnonzero(links)
-        return pd.DataFrame({"rep": reps[some], "links": links[some], "low_rep": reps[order[label[place[some]]]]})
+        return pd.DataFrame({"key": keys[some], "links": links[some], "low_key": keys[order[label[place[some]]]]})
 
-    found = cut(met.groupBy("low", "high").applyInPandas(meet, "rep long, links long, low_rep long"))
-    linked = components(found, "rep", "low_rep")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    found = cut(met.groupBy("low", "high").applyInPandas(meet, "key long, links long, low_key long"))
+    linked = components(found, "key", "low_key").withColumnRenamed("id", "key").withColumnRenamed("component", "group")
+    lowest = linked.join(single.select("key", "rep"), "key").groupBy("group").agg(F.min("rep").alias("component"))
+    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = cut(
-        single.join(counts, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("vector", F.col("vector").isNotNull().alias("_sound"), "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        single.join(counts, "key", "left").join(linked.join(lowest, "group").select("key", "component"), "key", "left")
+        .select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
     return frame.join(known, "vector", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"),

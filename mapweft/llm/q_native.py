@@ -66,12 +66,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
 FROM s
 """
 
-OP9_SQL = f"""
+OP9_SQL = rf"""
 WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
 b AS (
-  SELECT line, min(doc_id) AS first_id FROM l WHERE trim(line) <> ''
+  SELECT line, min(doc_id) AS first_id FROM l WHERE regexp_matches(line, '[^ \t-\r]')
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 k AS (
   SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND l.doc_id <> b.first_id AS bad FROM l LEFT JOIN b ON l.line = b.line),

@@ -277,15 +277,39 @@ def test_chunks_anywhere_give_the_same_ids():
     for n in (0, 1, 30, 400):
         text = "".join(rng.choice([*odd, "word", "the ", "ing "]) for _ in range(n))
         ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        for mean in (1, 3, 50, 100_000):
+        for mean, least in ((1, 1), (3, 2), (50, 1), (50, 20), (100_000, 1)):
             old = bpe.chunk_ends
-            bpe.chunk_ends = lambda d, m=mean, f=old: f(d, m)
+            bpe.chunk_ends = lambda d, m=mean, s=least, f=old: f(d, m, s, 40)
             try:
-                assert np.frombuffer(encoder.encode(text.encode())[0], "<u4").tolist() == ids
+                found = encoder.encode(text.encode())
+                assert np.frombuffer(found, "<u4").tolist() == ids
+                assert encoder.decode(found).decode() == (encoder.tokenizer.decode(ids, skip_special_tokens=False) if ids else "")
             finally:
                 bpe.chunk_ends = old
 
 
+def test_chunks_and_tables_are_bounded():
+    for data in (b"ab" * 50_000, b"\0" * 50_000, bytes(range(256)) * 300, b"x", b""):
+        ends = bpe.chunk_ends(data)
+        sizes = np.diff([0, *ends])
+        assert ends[-1] == len(data) and sizes.max(initial=0) <= bpe.MOST_CHUNK and (sizes[:-1] >= bpe.LEAST_CHUNK).all()
+    table = bpe.Table(100)
+    for i in range(1000):
+        table.keep(b"%d" % i, b"12345")
+        table.turn()
+        assert table.find(b"0") == b"12345"  # met often: it stays
+    assert len(table) < 40 and table.find(b"3") is None
+
+
+def test_forgetful_tables_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_BYTES", 60)
+    monkeypatch.setattr(bpe, "CHUNK_TABLE_BYTES", 3000)
+    encoder = bpe.Encoder(bpe.vocabulary_path())
+    text = prose(random.Random(4), 3000)
+    for piece in (text, text[:9000], text[5:], text):
+        assert np.frombuffer(encoder.encode(piece.encode()), "<u4").tolist() == encoder.tokenizer.encode(piece, add_special_tokens=False).ids
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     table = []
