@@ -1,4 +1,4 @@
-"""Ground and vegetation planes as sparse tiles and runs."""
+"""Vegetation, stalls and blocks on sparse tiles and runs."""
 
 from __future__ import annotations
 
@@ -22,51 +22,6 @@ def keyed(x: Column, y: Column, salt: int = 0) -> Column:
     return F.pmod(spatial_hash(x, y).bitwiseXOR(F.lit(salt * 83492791)), F.lit(1000003)) / 1000003.0
 
 
-def paint_rank(category: Column) -> Column:
-    return lookup(category, {name: i for i, name in enumerate(V.PAINT_ORDER)})
-
-
-def ground_cover(painted: DataFrame) -> DataFrame:
-    """(tx, ty, value): ground class of the category painted last. `painted` has tx, ty, category, seq."""
-    rank = paint_rank(c("category"))
-    top = painted.where(rank.isNotNull()).groupBy("tx", "ty").agg(F.max_by("category", F.struct(rank.alias("r"), c("seq"))).alias("category"))
-    return top.select("tx", "ty", lookup(c("category"), V.GROUND_CLASS).alias("value"))
-
-
-def biome_cover(base: DataFrame, woods: DataFrame) -> DataFrame:
-    """(tx, ty, biome): painted base, woods over soft ground only, then a one-tile clay shore.
-
-    `base` and `woods` have tx, ty, biome, ord; later paint wins.
-    """
-    B = V.BIOME
-    hard = [B["water"], B["dirt"], B["trailer"]]
-    blocks_shore = [B["water"], B["dirt"], B["town"], B["trailer"]]
-    ground = base.groupBy("tx", "ty").agg(F.max_by("biome", "ord").alias("g"))
-    wood = woods.groupBy("tx", "ty").agg(F.max_by("biome", "ord").alias("w"))
-    painted = ground.join(wood, ["tx", "ty"], "full") \
-        .select("tx", "ty", F.when(c("w").isNotNull() & ~isin(c("g"), hard), c("w")).otherwise(F.coalesce("g", "w")).alias("biome"))
-    water = painted.where(c("biome") == B["water"]).select("tx", "ty")
-    shore = R.dilate_mask(water, 1).withColumn("_s", F.lit(True))
-    return painted.join(shore, ["tx", "ty"], "left") \
-        .select("tx", "ty", F.when(c("_s") & ~isin(c("biome"), blocks_shore), F.lit(B["clay_shore"])).otherwise(c("biome")).alias("biome"))
-
-
-def woodland_grade(forest: DataFrame, water: DataFrame, density: float = 1.0, r: int = 2) -> DataFrame:
-    """(tx, ty, grade) 0 none to 3 full: cores thicker than edges, both shifted by density, none on water."""
-    shift = round((density - 1.0) * 2)
-    core, edge = min(max(3 + shift, 0), 3), min(max(2 + shift, 0), 3)
-    deep = R.erode_mask(forest, r).withColumn("_core", F.lit(True))
-    return forest.join(water, ["tx", "ty"], "left_anti").join(deep, ["tx", "ty"], "left") \
-        .select("tx", "ty", F.when(c("_core"), F.lit(core)).otherwise(F.lit(edge)).alias("grade")).where("grade > 0")
-
-
-def clip_cover_to_shape(ground: DataFrame, inside: DataFrame, keep: DataFrame, outside_value: int = V.GROUND_DARK_GRASS) -> DataFrame:
-    """Tiles outside the selection become countryside unless they are water or a through road."""
-    held = inside.select("tx", "ty").union(keep.select("tx", "ty")).distinct().withColumn("_k", F.lit(True))
-    return ground.join(held, ["tx", "ty"], "left") \
-        .select("tx", "ty", F.when(c("_k") | (c("value") == V.GROUND_WATER), c("value")).otherwise(F.lit(outside_value)).alias("value"))
-
-
 def clear_under(vegetation: DataFrame, paths: DataFrame, buildings: DataFrame) -> DataFrame:
     """Vegetation away from paths and buildings."""
     return vegetation.join(paths.select("tx", "ty").union(buildings.select("tx", "ty")), ["tx", "ty"], "left_anti")
@@ -89,25 +44,6 @@ def lattice_in_polygon(boxes: DataFrame, key: str, step_x: int, step_y: int, blo
     return pts.join(blocked.select("tx", "ty"), ["tx", "ty"], "left_anti").select(key, "tx", "ty")
 
 
-def kerb_candidates(asphalt: DataFrame, stride: int = 14, first: int = 4) -> DataFrame:
-    """Strided asphalt tiles on an edge of the carriageway, or deep inside tarmac.
-
-    Every asphalt tile votes for the strided tiles at the tested offsets; one
-    group-by collects the votes, so nothing is joined eleven times.
-    """
-    offs = [(0, 0, "c")] + [(dx, dy, n) for r, n in ((4, "near"), (8, "far")) for dx, dy in ((r, 0), (-r, 0), (0, r), (0, -r))] \
-        + [(0, 2, "v"), (0, -2, "v")]
-    votes = F.array(*[F.struct((c("tx") - dx).alias("x"), (c("ty") - dy).alias("y"), F.lit(n).alias("n")) for dx, dy, n in offs])
-    on_grid = (F.pmod(c("x") - first, F.lit(stride)) == 0) & (F.pmod(c("y") - first, F.lit(stride)) == 0)
-    got = asphalt.select(F.explode(F.filter(votes, lambda v: (F.pmod(v["x"] - first, F.lit(stride)) == 0) & (F.pmod(v["y"] - first, F.lit(stride)) == 0))).alias("v")) \
-        .select("v.*").where(on_grid).groupBy("x", "y").agg(
-            F.count_if(c("n") == "c").alias("centre"), F.count_if(c("n") == "near").alias("near"),
-            F.count_if(c("n") == "far").alias("far"), F.count_if(c("n") == "v").alias("vert"))
-    kerb, lot = c("near") < 4, c("far") == 4
-    return got.where((c("centre") > 0) & (kerb | lot)).select(
-        c("x").alias("tx"), c("y").alias("ty"), lot.alias("car_park"), (c("vert") > 0).alias("vertical"))
-
-
 def parking_zones(drives: DataFrame, lots: DataFrame, kerbs: DataFrame, density: float = 1.0) -> DataFrame:
     """Accepted stalls of the three sources, the first per 8x8 cell: drives, then lots, then kerbs row by row."""
     def source(df, order, chance):

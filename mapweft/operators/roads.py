@@ -9,6 +9,7 @@ from ..functions import tables as V
 from ..functions.tags import case
 from ..functions.text import lookup
 from . import scan
+from .bucket import bucket_join, point
 
 
 def c(name: str) -> Column:
@@ -73,42 +74,76 @@ def next_prev_cut(vertices: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("before", c("_before.k")).withColumn("after", c("_after.k")).drop("_cut", "_before", "_after")
 
 
-def control_to_junction(marks: DataFrame, limit: Column) -> DataFrame:
-    """As-of join along roads: each control's nearest junction ahead or behind within a limit.
+def junction_walk(vertices: DataFrame, members: DataFrame) -> DataFrame:
+    """Vertices with the nearest junction vertex strictly before and after them on their road, and how far it is.
 
-    `marks` has way_id, pos, dist, node_id (null on plain vertices), junction
-    (null when none) and facing. Both directions are carried in one pass each.
+    Both directions are carried in one pass each. Adds prev and next: struct(k, d).
     """
-    here = F.when(c("junction").isNotNull(), F.struct(c("junction").alias("k"), c("dist").alias("d")))
-    m = scan.carry(marks, ["way_id"], "pos", {"_prev": here}, forward=True)
-    m = scan.carry(m, ["way_id"], "pos", {"_next": here}, forward=False)
-    m = m.where("node_id IS NOT NULL")
+    here = F.when(c("_own"), F.struct(c("vkey").alias("k"), c("dist").alias("d")))
+    m = cumulative_distance(vertices).withColumn("dist", F.round("dist", 9)).join(members.select("vkey", F.lit(True).alias("_own")), "vkey", "left")
+    m = scan.carry(m, ["way_id"], "pos", {"prev": here}, forward=True)
+    return scan.carry(m, ["way_id"], "pos", {"next": here}, forward=False).drop("_own")
+
+
+def control_to_junction(walk: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As-of join along roads: each control's nearest junction in the direction it faces, within a limit.
+
+    `nodes` has node_id, vkey, highway and facing (forward, backward, both); a crossing
+    reaches 15 m, the others 30 m. Of equal distances the earlier road wins, then the way ahead.
+    """
+    limit = F.when(c("highway") == "crossing", F.lit(V.CROSSING_NEAR_M)).otherwise(F.lit(V.APPROACH_M))
+    # A control stands at the first place where its road passes its vertex.
+    first = walk.join(nodes.select("vkey").distinct(), "vkey", "left_semi").groupBy("way_id", "vkey").agg(F.min(F.struct("pos", "dist", "prev", "next")).alias("w"))
+    m = nodes.join(first, "vkey").select("node_id", "way_id", "highway", "facing", "w.dist", "w.prev", "w.next")
     # Rounded to a micron, so that equal distances tie whatever they were added up from.
-    ahead, behind = F.round(c("_next.d") - c("dist"), 6), F.round(c("dist") - c("_prev.d"), 6)
+    ahead, behind = F.round(c("next.d") - c("dist"), 6), F.round(c("dist") - c("prev.d"), 6)
     ok_a = c("facing").isin("forward", "both") & (ahead <= limit)
     ok_b = c("facing").isin("backward", "both") & (behind <= limit)
-    pick = F.least(F.when(ok_a, F.struct(ahead.alias("metres"), F.lit(0).alias("o"), c("_next.k").alias("junction"), F.lit(1).alias("step"))),
-                   F.when(ok_b, F.struct(behind.alias("metres"), F.lit(1).alias("o"), c("_prev.k").alias("junction"), F.lit(-1).alias("step"))))
-    found = m.withColumn("_p", pick).where("_p IS NOT NULL")
-    best = found.groupBy("node_id").agg(F.min(F.struct("_p.metres", "_p.o", "way_id", c("_p.junction"), c("_p.step"))).alias("b"))
+    pick = F.least(F.when(ok_a, F.struct(ahead.alias("metres"), c("way_id"), F.lit(0).alias("o"), c("next.k").alias("junction"), F.lit(1).alias("step"))),
+                   F.when(ok_b, F.struct(behind.alias("metres"), c("way_id"), F.lit(1).alias("o"), c("prev.k").alias("junction"), F.lit(-1).alias("step"))))
+    best = m.withColumn("_p", pick).where("_p IS NOT NULL").groupBy("node_id").agg(F.min("_p").alias("b"))
     return best.select("node_id", "b.way_id", "b.junction", "b.step", "b.metres")
 
 
-def crossing_between(marks: DataFrame) -> DataFrame:
-    """Mid-block nodes as a fraction of the way between the cuts around them."""
-    here = F.when(c("cut"), F.struct(c("vkey").alias("k"), c("dist").alias("d")))
-    m = scan.carry(marks, ["way_id"], "pos", {"_prev": here}, forward=True)
+def crossing_between(vertices: DataFrame, cuts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mid-block crossings as a fraction of the way between the cuts around them, on the first road through them.
+
+    `nodes` has node_id and vkey.
+    """
+    here = F.when(c("_cut"), F.struct(c("vkey").alias("k"), c("dist").alias("d")))
+    m = cumulative_distance(vertices).join(cuts.select("vkey", F.lit(True).alias("_cut")), "vkey", "left")
+    m = scan.carry(m, ["way_id"], "pos", {"_prev": here}, forward=True)
     m = scan.carry(m, ["way_id"], "pos", {"_next": here}, forward=False)
-    m = m.where("node_id IS NOT NULL AND _prev IS NOT NULL AND _next IS NOT NULL").where("_prev.k <> _next.k")
+    first = nodes.join(m, "vkey").groupBy("node_id").agg(F.min(F.struct("way_id", "pos", "dist", "_prev", "_next")).alias("w")).select("node_id", "w.*")
+    m = first.where("_prev IS NOT NULL AND _next IS NOT NULL").where("_prev.k <> _next.k")
     span = c("_next.d") - c("_prev.d")
     frac = F.when(span > 0, (c("dist") - c("_prev.d")) / span).otherwise(F.lit(0.0))
     return m.select("node_id", "way_id", c("_prev.k").alias("before"), c("_next.k").alias("after"), frac.alias("fraction"))
 
 
-def junction_kind(arms: DataFrame, marks: DataFrame) -> DataFrame:
+def placed_controls(nodes: DataFrame, members: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Where control nodes act: (members with lone signals, at a junction, on an arm, between junctions).
+
+    `nodes` has node_id, vkey, highway, facing, stop_all, walk (signals that serve a
+    crossing) and style. A node on a junction acts there; another acts on the arm of the
+    nearest junction that it faces. A signal with neither makes its vertex a junction of
+    its own, unless it serves a crossing: that lies between junctions, as do crossings.
+    """
+    own = nodes.join(members, "vkey")
+    rest = nodes.join(members.select("vkey"), "vkey", "left_anti")
+    reach = control_to_junction(walk, rest)
+    arm = rest.join(reach.drop("metres"), "node_id").join(members.withColumnRenamed("vkey", "junction"), "junction")
+    left = rest.join(reach.select("node_id"), "node_id", "left_anti")
+    alone = (c("highway") == "traffic_signals") & ~c("walk")
+    lone = left.where(alone).select("vkey", c("vkey").alias("cluster")).distinct()
+    between = left.where((c("highway") == "crossing") | ((c("highway") == "traffic_signals") & c("walk")))
+    return members.unionByName(lone), own.unionByName(left.where(alone).withColumn("cluster", c("vkey"))), arm, between
+
+
+def junction_kind(arms: DataFrame, flags: DataFrame) -> DataFrame:
     """(cluster, kind) by precedence over its arms; unnamed clusters are dropped.
 
-    `arms` has cluster, way_id, category, roundabout, control; `marks` has
+    `arms` has cluster, way_id, category, roundabout, control; `flags` has
     cluster, mini, turning, all_way.
     """
     a = arms.groupBy("cluster").agg(
@@ -116,7 +151,7 @@ def junction_kind(arms: DataFrame, marks: DataFrame) -> DataFrame:
         F.bool_or(c("control") == "stop").alias("stop"), F.bool_or(c("control") == "give_way").alias("give"),
         F.countDistinct(F.when(c("category") != "road_service", c("way_id"))).alias("through"))
     f = F.lit(False)
-    m = a.join(marks, "cluster", "full").select("cluster", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("through", F.lit(0)).alias("through"),
+    m = a.join(flags, "cluster", "full").select("cluster", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("through", F.lit(0)).alias("through"),
                                                 *[F.coalesce(k, f).alias(k) for k in ("ring", "sig", "stop", "give", "mini", "turning", "all_way")])
     kind = case(((c("n") <= 1) & c("turning"), "turning_circle"), (c("ring"), "roundabout"), (c("mini"), "mini_roundabout"), (c("sig"), "signals"),
                 (c("all_way"), "all_way_stop"), (c("stop"), "stop"), (c("give"), "give_way"),
@@ -128,37 +163,66 @@ def junction_centre(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
-def junction_arms(vertices: DataFrame, segs: DataFrame, members: DataFrame, cuts: DataFrame) -> DataFrame:
-    """One arm per (road, vertex, next cut) that leaves a cluster."""
+def junction_arms(vertices: DataFrame, members: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One arm per (road, vertex, next cut) that leaves a cluster; `inbound` if traffic may come in along it.
+
+    `vertices` has way_id, pos, vkey, category and oneway: 1 along the road only, -1
+    against it, 0 both.
+    """
     walk = next_prev_cut(vertices, cuts).join(members.select("vkey", "cluster"), "vkey")
-    sides = walk.select("cluster", "way_id", "vkey", "category", F.explode(F.array(
+    sides = walk.select("cluster", "way_id", "vkey", "category", "oneway", F.explode(F.array(
         F.struct(c("after").alias("far"), F.lit(1).alias("step")), F.struct(c("before").alias("far"), F.lit(-1).alias("step")))).alias("s")) \
-        .select("cluster", "way_id", "vkey", "category", "s.far", "s.step").where("far IS NOT NULL")
+        .select("cluster", "way_id", "vkey", "category", "oneway", "s.far", "s.step").where("far IS NOT NULL")
     own = members.select(c("vkey").alias("far"), c("cluster").alias("_far"))
     out = sides.join(own, "far", "left").where("_far IS NULL OR _far <> cluster").drop("_far")
-    return out.groupBy("cluster", "way_id", "vkey", "far").agg(F.max("step").alias("step"), F.min("category").alias("category"))
+    arms = out.groupBy("cluster", "way_id", "vkey", "far").agg(F.max("step").alias("step"), F.min("category").alias("category"), F.min("oneway").alias("oneway"))
+    return arms.withColumn("inbound", (c("oneway") == 0) | (c("oneway") == -c("step"))).drop("oneway")
 
 
-def junction_controls(arms: DataFrame, controls: DataFrame) -> DataFrame:
-    """Arms with their strongest control: signal over stop over give-way.
+def junction_controls(arms: DataFrame, at_node: DataFrame, on_arm: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arms with control and crosswalk, cluster flags): signal over stop over give-way, for inbound arms.
 
-    A control on the junction itself applies to every inbound arm, but stops
-    and give-ways only to the lesser roads unless all are of one class.
-    `controls` has cluster, control, and way_id/step (null when on the junction).
+    A signal on the junction itself holds for every inbound arm; a stop or give-way only
+    for the lesser roads, or for all if they are of one class. A stop that says all, or one
+    on a junction of one class, makes it an all-way stop. `at_node` has cluster, highway,
+    stop_all, walk, style; `on_arm` also way_id, junction and step, the direction of
+    travel towards it. Flags: mini, turning, all_way, crosswalk_all.
     """
     rank = F.coalesce(lookup(c("category"), V.ROAD_RANK), F.lit(0))
-    top = arms.groupBy("cluster").agg(F.max(rank).alias("_top"), F.min(rank).alias("_low"))
-    a = arms.withColumn("_rank", rank).join(top, "cluster")
-    power = lookup(c("control"), V.CONTROL_RANK)
-    at_node = controls.where("way_id IS NULL").groupBy("cluster").agg(
-        F.max(F.when(c("control") == "signal", power)).alias("_sig"), F.max(F.when(c("control") != "signal", power)).alias("_sign"))
-    on_arm = controls.where("way_id IS NOT NULL").groupBy("cluster", "way_id", c("step").alias("_step")).agg(F.max(power).alias("_own"))
-    joined = a.join(at_node, "cluster", "left").join(on_arm.withColumnRenamed("_step", "step"), ["cluster", "way_id", "step"], "left")
-    lesser = (c("_rank") < c("_top")) | (c("_top") == c("_low"))
-    best = F.greatest(F.coalesce("_sig", F.lit(0)), F.when(lesser, F.coalesce("_sign", F.lit(0))).otherwise(F.lit(0)), F.coalesce("_own", F.lit(0)))
-    best = F.when(c("inbound"), best).otherwise(F.lit(0))
+    a = arms.withColumn("_rank", rank)
+    top = a.groupBy("cluster").agg(F.max("_rank").alias("_top"), F.min("_rank").alias("_low"), F.countDistinct("category").alias("_classes"))
+    f = F.lit(False)
+    sig, stop, give, cross = [c("highway") == k for k in ("traffic_signals", "stop", "give_way", "crossing")]
+    here = at_node.groupBy("cluster").agg(
+        F.bool_or(sig).alias("_sig"), F.bool_or(stop).alias("_stop"), F.bool_or(give).alias("_give"), F.bool_or(stop & c("stop_all")).alias("_all"),
+        F.bool_or(c("highway") == "mini_roundabout").alias("mini"), F.bool_or(c("highway").isin("turning_circle", "turning_loop")).alias("turning"),
+        F.bool_or((sig & c("walk")) | (cross & (c("style") != "unmarked"))).alias("_zebra"), F.bool_or(cross & (c("style") == "unmarked")).alias("_bare"))
+    there = on_arm.groupBy("cluster").agg(F.bool_or(stop & c("stop_all")).alias("_all2"), F.bool_or(sig & c("walk")).alias("_zebra2"))
+    signs = on_arm.groupBy("cluster", "way_id", c("junction").alias("vkey"), (-c("step")).alias("step")).agg(
+        F.max(F.when(sig, 3).when(stop, 2).when(give, 1).otherwise(0)).alias("_own"), F.bool_or(cross & (c("style") == "unmarked")).alias("_x0"),
+        F.bool_or((cross & (c("style") == "signals")) | (sig & c("walk"))).alias("_x1"), F.max(F.when(cross, c("style"))).alias("_x2"))
+    known = top.join(here, "cluster", "full").join(there, "cluster", "full")
+    flags = [F.coalesce(k, f).alias(k) for k in ("_sig", "_stop", "_give", "_all", "mini", "turning", "_zebra", "_bare", "_all2", "_zebra2")]
+    known = known.select("cluster", "_top", "_low", F.coalesce("_classes", F.lit(0)).alias("_classes"), *flags)
+    equal = F.coalesce((c("_top") > 0) & (c("_top") == c("_low")), f)
+    known = known.withColumn("all_way", c("_all") | c("_all2") | (c("_stop") & ((c("_classes") <= 1) | equal))).withColumn("_equal", equal)
+    joined = a.join(known, "cluster").join(signs, ["cluster", "way_id", "vkey", "step"], "left")
+    lesser = c("_rank") < c("_top")
+    best = F.greatest(F.when(c("_sig"), 3).otherwise(0), F.when(c("all_way") | (c("_stop") & lesser), 2).otherwise(0),
+                      F.when(c("_give") & (lesser | c("_equal")), 1).otherwise(0), F.coalesce("_own", F.lit(0)))
     names = {v: k for k, v in V.CONTROL_RANK.items()}
-    return joined.select("cluster", "way_id", "vkey", "far", "step", "category", lookup(best, names).alias("control"))
+    walk = F.when(c("_x0"), F.lit("unmarked")).when(c("_x1"), F.lit("signals")).when(c("_x2").isNotNull(), c("_x2")).when(c("_bare"), F.lit("unmarked"))
+    ruled = joined.select("cluster", "way_id", "vkey", "far", "step", "category", "inbound",
+                          lookup(F.when(c("inbound"), best).otherwise(0), names).alias("control"), walk.alias("crosswalk"))
+    return ruled, known.select("cluster", "mini", "turning", "all_way", (c("_zebra") | c("_zebra2")).alias("crosswalk_all"))
+
+
+def dismissed(centres: DataFrame, arms: DataFrame, lifted: DataFrame, decks: DataFrame) -> DataFrame:
+    """Clusters (cluster, x, y) that stay: no arm runs on a lifted way, and the centre is on no deck (x0, y0, w, h)."""
+    under = arms.join(lifted.select("way_id"), "way_id", "left_semi").select("cluster").distinct()
+    boxes = decks.select(c("x0").alias("bx0"), c("y0").alias("by0"), (c("x0") + c("w")).alias("bx1"), (c("y0") + c("h")).alias("by1"))
+    left = centres.join(under, "cluster", "left_anti")
+    return bucket_join(left, boxes, point(c("x"), c("y")), ("bx0", "by0", "bx1", "by1"), 64, how="left_anti")
 
 
 def junction_box(arms: DataFrame, gap: float = 3.0, park: float = 9.0) -> DataFrame:

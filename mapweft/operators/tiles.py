@@ -152,28 +152,6 @@ def runs_to_tiles(runs: DataFrame, keep: list[str]) -> DataFrame:
     return runs.select(*keep, "ty", F.explode(F.sequence(c("x0"), c("x1") - 1)).alias("tx"))
 
 
-def rasterize_line(segs: DataFrame, half: Column, keep: list[str]) -> DataFrame:
-    """Distinct tiles whose centre is within half a width of a segment (ax, ay, bx, by).
-
-    Each tile row of a segment is solved for its x range first, so only tiles
-    near the line are tested.
-    """
-    from ..functions import geo as P
-
-    s = segs.withColumn("_h", half)
-    rows = s.withColumn("ty", F.explode(F.sequence(F.floor(F.least("ay", "by") - c("_h")), F.ceil(F.greatest("ay", "by") + c("_h")))))
-    # The part of the segment within half a width of this row bounds the columns.
-    dy = (c("by") - c("ay")).cast("double")
-    t0 = (c("ty") + 0.5 - c("_h") - c("ay")) / F.nullif(dy, F.lit(0.0))
-    t1 = (c("ty") + 0.5 + c("_h") - c("ay")) / F.nullif(dy, F.lit(0.0))
-    lo, hi = F.coalesce(F.least(t0, t1), F.lit(0.0)), F.coalesce(F.greatest(t0, t1), F.lit(1.0))
-    lo, hi = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lo)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), hi))
-    xa, xb = c("ax") + lo * (c("bx") - c("ax")), c("ax") + hi * (c("bx") - c("ax"))
-    cols = rows.withColumn("tx", F.explode(F.sequence(F.floor(F.least(xa, xb) - c("_h") - 0.5), F.ceil(F.greatest(xa, xb) + c("_h")))))
-    near = P.segment_distance(c("tx") + 0.5, c("ty") + 0.5, c("ax"), c("ay"), c("bx"), c("by")) <= c("_h")
-    return cols.where(near).select(*keep, "tx", "ty").distinct()
-
-
 def retile(tiles: DataFrame, value: str, size: int = V.BIOME_CELL, default: int = 0) -> DataFrame:
     """Regroup to cells of another size: (cx, cy, set, filled with the default)."""
     out = tiles.groupBy(F.floor(c("tx") / size).alias("cx"), F.floor(c("ty") / size).alias("cy")).agg(

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.text import lookup
 from ..operators import joins as J
+from ..operators import rings as R
 from ..operators.bucket import bucket_join, point
 from . import sqltext as S
 from .registry import query
-from .views import table, view
+from .views import outlines, table, view
 
-VB, VP, VA = "v_building", "v_point", "v_area"
+VB, VP, VA, VO, VG = "v_building", "v_point", "v_area", "v_outline", "v_ground"
 
 
 def c(name):
@@ -41,49 +42,69 @@ def relation_members(spark, d):
 
 
 # ------------------------------------------------------------------- containment
-@query("points_in_footprint", """SELECT pid, arg_min(fid, -w * h * 10000000 + fid) AS fid FROM v_point JOIN v_building
- ON x > x0 - 1 AND x < x0 + w + 1 AND y > y0 - 1 AND y < y0 + h + 1 GROUP BY pid""", [VP, VB])
+_CLAIMS = f"""(SELECT pid, arg_min(fid, (-area, fid)) AS fid FROM {S.ring_hits("(SELECT min(pid) AS pid, x, y FROM v_point GROUP BY x, y)", "v_outline", "pid", "fid", reach=1)} h
+ JOIN {S.ring_area("v_outline", "fid")} a USING (fid) WHERE inside OR distance < 1 GROUP BY pid)"""
+
+
+@query("points_in_footprint", f"SELECT pid, fid FROM {_CLAIMS} q", [VP, VO])
 def points_in_footprint(spark, d):
-    return J.points_in_footprint(view(spark, d, VP), view(spark, d, VB))
+    """Uses mapped inside a building, or at its door, go to the largest such building; each place once."""
+    return R.claimed_points(view(spark, d, VP), outlines(spark, d, VO))
 
 
-_AROUND = "px > a.x0 AND px < a.x0 + side AND py > a.y0 AND py < a.y0 + side"
 _CENTRE = "(SELECT *, x0 + w / 2.0 AS px, y0 + h / 2.0 AS py FROM v_building)"
 
 
-@query("area_of_point", f"""SELECT fid, arg_min(category, side * side * 10000000 + aid) AS category FROM {_CENTRE} b LEFT JOIN v_area a ON {_AROUND} GROUP BY fid""", [VB, VA])
+def around(edges: str = "v_ground") -> str:
+    """(fid, aid, area) of the areas strictly around the centres of buildings."""
+    hits = S.ring_hits(_CENTRE, edges, "fid", "aid", "px", "py")
+    return f"(SELECT fid, aid, area, category FROM {hits} h JOIN {S.ring_area(edges, 'aid')} a USING (aid) JOIN v_area USING (aid) WHERE inside)"
+
+
+@query("area_of_point", f"""SELECT fid, arg_min(category, (area, aid)) AS category FROM v_building LEFT JOIN {around()} q USING (fid) GROUP BY fid""", [VB, VA, VG])
 def area_of_point(spark, d):
-    return J.smallest_area(centres(spark, d), view(spark, d, VA), ["category"], "fid").select("fid", "category")
+    return R.smallest_around(centres(spark, d), outlines(spark, d, VG), view(spark, d, VA), ["category"], "fid").select("fid", "category")
 
 
 _KIND = "CASE WHEN {c} = 'schoolyard' AND w * h < 120 THEN 'civic' ELSE " + S.case_of("{c}", V.KIND_FOR_AREA) + " END"
 
 
-@query("zone_override", f"""WITH land AS (SELECT fid, arg_min(category, side * side * 10000000 + aid) AS land FROM {_CENTRE} b LEFT JOIN v_area a ON {_AROUND} AND aid % 3 <> 0 GROUP BY fid),
- zone AS (SELECT fid, arg_min(category, side * side * 10000000 + aid) AS zone FROM {_CENTRE} b LEFT JOIN v_area a ON {_AROUND} AND aid % 3 = 0 GROUP BY fid)
+@query("zone_override", f"""WITH hit AS (SELECT * FROM {around()} q),
+ land AS (SELECT fid, arg_min(category, (area, aid)) AS land FROM hit WHERE aid % 3 <> 0 GROUP BY fid),
+ zone AS (SELECT fid, arg_min(category, (area, aid)) AS zone FROM hit WHERE aid % 3 = 0 GROUP BY fid)
 SELECT fid, CASE WHEN zone IS NOT NULL THEN {_KIND.replace('{c}', 'zone')} ELSE {_KIND.replace('{c}', 'land')} END AS kind
-FROM v_building JOIN land USING (fid) JOIN zone USING (fid)""", [VB, VA])
+FROM v_building LEFT JOIN land USING (fid) LEFT JOIN zone USING (fid)""", [VB, VA, VG])
 def zone_override(spark, d):
     from ..functions.tags import kind_for_area
 
-    areas = view(spark, d, VA)
-    land = J.smallest_area(centres(spark, d), areas.where("aid % 3 <> 0").withColumnRenamed("category", "land"), ["land"], "fid").drop("covered")
-    both = J.smallest_area(land, areas.where("aid % 3 = 0").withColumnRenamed("category", "zone"), ["zone"], "fid")
+    areas, edges = view(spark, d, VA), outlines(spark, d, VG)
+    land = R.smallest_around(centres(spark, d), edges.where("aid % 3 <> 0"), areas.withColumnRenamed("category", "land"), ["land"], "fid").drop("covered")
+    both = R.smallest_around(land, edges.where("aid % 3 = 0"), areas.withColumnRenamed("category", "zone"), ["zone"], "fid")
     tiles = c("w") * c("h")
     return both.select("fid", F.when(c("covered"), kind_for_area(c("zone"), tiles)).otherwise(kind_for_area(c("land"), tiles)).alias("kind"))
 
 
 @query("seed_nudge", f"""SELECT fid, CAST(coalesce(sum(CASE WHEN aid IS NULL THEN 0 WHEN aid % 2 = 0 THEN aid % 10 ELSE 1 END), 0) AS BIGINT) AS nudge
-FROM {_CENTRE} b LEFT JOIN v_area a ON {_AROUND} GROUP BY fid""", [VB, VA])
+FROM v_building LEFT JOIN {around()} q USING (fid) GROUP BY fid""", [VB, VA, VG])
 def seed_nudge(spark, d):
     regions = view(spark, d, VA).withColumn("seed", F.when(c("aid") % 2 == 0, c("aid") % 10))
-    return J.seed_nudge(centres(spark, d), regions, "fid")
+    return R.seeds_around(centres(spark, d), outlines(spark, d, VG), regions, "fid")
 
 
 # ------------------------------------------------------------------- semi and anti joins
-@query("only_missing", """SELECT pid FROM v_point WHERE NOT EXISTS (SELECT 1 FROM v_building WHERE x > x0 AND x < x0 + w AND y > y0 AND y < y0 + h)""", [VP, VB])
+# Every ring of a mapped building is an outline of its own here, so a courtyard is built on too.
+_RINGS = "(SELECT fid * 2 + ring AS rid, ax, ay, ex, ey FROM v_outline)"
+MISSING = f"(SELECT pid FROM v_point WHERE pid NOT IN (SELECT pid FROM {S.ring_hits('v_point', _RINGS, 'pid', 'rid')} h WHERE inside))"
+
+
+def not_built_on(spark, d):
+    rings = outlines(spark, d, VO).withColumn("rid", c("fid") * 2 + c("ring"))
+    return R.outside_all(view(spark, d, VP), rings, key="rid")
+
+
+@query("only_missing", f"SELECT pid FROM {MISSING} q", [VP, VO])
 def only_missing(spark, d):
-    return J.only_missing(view(spark, d, VP), view(spark, d, VB)).select("pid")
+    return not_built_on(spark, d).select("pid")
 
 
 @query("gap_semi", """SELECT fid FROM v_building b WHERE EXISTS (SELECT 1 FROM v_area a WHERE b.x0 <= a.x0 + side AND b.x0 + w >= a.x0 AND b.y0 <= a.y0 + side AND b.y0 + h >= a.y0)""", [VB, VA])
@@ -91,10 +112,10 @@ def gap_semi(spark, d):
     return J.touching_any(view(spark, d, VB), view(spark, d, VA), "fid").select("fid")
 
 
-@query("within_distance_anti", """SELECT pid FROM v_point WHERE NOT EXISTS (SELECT 1 FROM v_building
- WHERE power(greatest(x0 - x, 0, x - x0 - w), 2) + power(greatest(y0 - y, 0, y - y0 - h), 2) <= 16)""", [VP, VB])
+@query("within_distance_anti", f"""SELECT pid FROM v_point WHERE pid NOT IN (SELECT pid FROM {S.ring_hits("v_point", "v_outline", "pid", "fid", reach=4)} h
+ WHERE inside OR distance <= 4)""", [VP, VO])
 def within_distance_anti(spark, d):
-    return J.farther_than(view(spark, d, VP), view(spark, d, VB), 4.0).select("pid")
+    return R.outside_all(view(spark, d, VP), outlines(spark, d, VO), distance=4.0).select("pid")
 
 
 @query("stall_building_anti", """SELECT pid FROM (SELECT pid, x AS sx, y AS sy FROM v_point) p
@@ -120,11 +141,10 @@ def near_canopy_anti(spark, d):
     return J.not_near(stations, served, 40).select("pid")
 
 
-@query("station_points_unclaimed", """SELECT pid FROM v_point WHERE use_value = 'automobile' AND NOT EXISTS (SELECT 1 FROM v_building
- WHERE x > x0 - 1 AND x < x0 + w + 1 AND y > y0 - 1 AND y < y0 + h + 1)""", [VP, VB])
+@query("station_points_unclaimed", f"""SELECT pid FROM v_point WHERE use_value = 'automobile' AND pid NOT IN (SELECT pid FROM {_CLAIMS} q)""", [VP, VO])
 def station_points_unclaimed(spark, d):
-    fuel = view(spark, d, VP).where("use_value = 'automobile'")
-    return J.unclaimed(fuel, J.points_in_footprint(fuel, view(spark, d, VB))).select("pid")
+    points = view(spark, d, VP)
+    return J.unclaimed(points.where("use_value = 'automobile'"), R.claimed_points(points, outlines(spark, d, VO))).select("pid")
 
 
 # ------------------------------------------------------------------- neighbours

@@ -10,9 +10,10 @@ from ..operators import buildings as B
 from ..operators import greedy
 from ..operators import network as N
 from ..operators import roads as R
+from ..session import cut
 from . import sqltext as S
 from .q_joins import SEGMENTS, lattice_segments
-from .q_order import CUTS, cuts
+from .q_order import CUTS, DIST, cuts
 from .q_scalar import _QUAD, quads, xy
 from .registry import query
 from .views import view
@@ -32,24 +33,7 @@ def road_graph(spark, d):
     return R.road_graph(view(spark, d, VX)).select("way_id", "pos", "akey", "bkey", F.round("len", 6).alias("len"))
 
 
-def seeds(spark, d):
-    """Vertices where many roads meet."""
-    v = view(spark, d, VX)
-    deg = R.vertex_degree(lattice_segments(spark, d)).where("links >= 6").select("vkey", "links")
-    at = v.groupBy("vkey").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(lookup(c("category"), V.ROAD_WIDTH_M)).alias("width"))
-    return at.join(deg, "vkey")
-
-
-def members(spark, d):
-    """Junction members by 64-tile block, standing in for clusters."""
-    s = seeds(spark, d)
-    return s.withColumn("cluster", F.floor(c("x") / 64) * 100000 + F.floor(c("y") / 64))
-
-
-MEMBERS = f"""sd AS (SELECT vkey, min(x) AS x, min(y) AS y FROM v_vertex WHERE vkey IN (SELECT vkey FROM link GROUP BY vkey HAVING count(*) >= 6) GROUP BY vkey),
- mem AS (SELECT *, (x // 64) * 100000 + y // 64 AS cluster FROM sd)"""
-
-
+# ------------------------------------------------------------------- junctions
 def junction_seeds(spark, d):
     """Vertices with three links or more, and those under a turning circle, turning loop or mini roundabout."""
     v = view(spark, d, VX)
@@ -59,59 +43,146 @@ def junction_seeds(spark, d):
     return at.join(deg, "vkey")
 
 
-@query("junction_clusters")
+# Complete linkage in rounds: a pair that is the nearest open one of both its clusters is decided.
+MEMBERS = f"""seed AS MATERIALIZED (SELECT v.vkey, min(x) AS x, min(y) AS y, max({WIDTH_SQL})::DOUBLE AS w, max(links) AS links FROM v_vertex v JOIN (SELECT vkey, count(*) AS links FROM link GROUP BY vkey) l ON l.vkey = v.vkey
+  WHERE links >= 3 OR v.vkey IN (SELECT near_key FROM v_control WHERE on_vertex AND highway IN ('turning_circle', 'turning_loop', 'mini_roundabout')) GROUP BY v.vkey),
+ pair AS MATERIALIZED (SELECT * FROM (SELECT a.vkey AS a, b.vkey AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d, greatest(12.0, a.w + b.w) AS lim
+  FROM seed a JOIN seed b ON a.vkey < b.vkey AND b.x BETWEEN a.x - 24 AND a.x + 24 AND b.y BETWEEN a.y - 24 AND a.y + 24) q WHERE d <= lim),
+ turns AS (
+  SELECT 0 AS n, 0 AS kind, vkey AS a, vkey AS b, 0.0::DOUBLE AS d, 0.0::DOUBLE AS lim FROM seed UNION ALL SELECT 0, 1, a, b, d, lim FROM pair UNION ALL
+  (WITH lab AS (SELECT a AS vkey, b AS cl FROM turns WHERE kind = 0),
+   op AS (SELECT p.a, p.b, p.d, p.lim, la.cl AS ca, lb.cl AS cb FROM turns p JOIN lab la ON la.vkey = p.a JOIN lab lb ON lb.vkey = p.b WHERE p.kind = 1 AND la.cl <> lb.cl),
+   best AS (SELECT cl, min((d, a, b)) AS m FROM (SELECT ca AS cl, d, a, b FROM op UNION ALL SELECT cb, d, a, b FROM op) q GROUP BY cl),
+   pick AS (SELECT op.* FROM op JOIN best p ON p.cl = ca JOIN best q ON q.cl = cb WHERE p.m = (op.d, op.a, op.b) AND q.m = (op.d, op.a, op.b)),
+   bad AS (SELECT DISTINCT t.a, t.b FROM pick t JOIN lab x ON x.cl = t.ca JOIN lab y ON y.cl = t.cb JOIN seed sx ON sx.vkey = x.vkey JOIN seed sy ON sy.vkey = y.vkey
+    WHERE round(sqrt((sx.x - sy.x) * (sx.x - sy.x) + (sx.y - sy.y) * (sx.y - sy.y)), 6) > greatest(12.0, t.lim, sx.w + sy.w)),
+   mv AS (SELECT least(ca, cb) AS lo, greatest(ca, cb) AS hi FROM pick ANTI JOIN bad USING (a, b)),
+   k AS (SELECT max(n) + 1 AS n FROM turns)
+   SELECT k.n, 0, vkey, coalesce(lo, cl), 0.0, 0.0 FROM lab LEFT JOIN mv ON hi = cl, k WHERE EXISTS (SELECT 1 FROM op)
+   UNION ALL SELECT k.n, 1, op.a, op.b, op.d, op.lim FROM op ANTI JOIN pick USING (a, b), k)),
+ label AS (SELECT a AS vkey, b AS cl FROM turns WHERE kind = 0 AND n = (SELECT max(n) FROM turns)),
+ mem AS MATERIALIZED (SELECT s.vkey, s.x, s.y, coalesce(CASE WHEN links >= 3 THEN cluster END, s.vkey) AS cluster FROM seed s JOIN label USING (vkey)
+  LEFT JOIN (SELECT cl, min(vkey) AS cluster FROM label JOIN seed USING (vkey) WHERE links >= 3 GROUP BY cl) nm USING (cl))"""
+
+
+def members(spark, d):
+    """Seeds with their clusters, found once for all that a query asks of them."""
+    s = cut(junction_seeds(spark, d))
+    return cut(s.join(N.junction_clusters(s), "vkey").select("vkey", "x", "y", "cluster"))
+
+
+@query("junction_clusters", f"WITH RECURSIVE {SEGMENTS}, {CUTS}, {MEMBERS} SELECT vkey, cluster FROM mem", [VX, VC])
 def junction_clusters(spark, d):
     return N.junction_clusters(junction_seeds(spark, d))
 
 
-@query("junction_centre", f"WITH {SEGMENTS}, {CUTS}, {MEMBERS} SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM mem GROUP BY cluster", [VX])
+@query("junction_centre", f"WITH RECURSIVE {SEGMENTS}, {CUTS}, {MEMBERS} SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM mem GROUP BY cluster", [VX, VC])
 def junction_centre(spark, d):
     return R.junction_centre(members(spark, d)).select("cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
 
 
-ARMS = """w AS (SELECT v.*, last_value(ck IGNORE NULLS) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+# Control nodes on road vertices, with the tags that decide what they do.
+PLACED = f"""node AS (SELECT node_id, near_key AS vkey, highway, CASE node_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'forward' ELSE 'backward' END AS facing, highway = 'stop' AND node_id % 13 = 0 AS stop_all,
+   highway = 'traffic_signals' AND node_id % 4 = 0 AS walk, CASE node_id % 5 WHEN 0 THEN 'unmarked' WHEN 1 THEN 'signals' ELSE 'marked' END AS style FROM v_control WHERE on_vertex AND near_key IN (SELECT vkey FROM v_vertex)),
+ near AS (SELECT n.node_id, a.way_id, b.vkey AS junction, CASE WHEN b.pos > a.pos THEN 1 ELSE -1 END AS step, round(abs(b.dist - a.dist), 6) AS metres
+  FROM node n ANTI JOIN mem USING (vkey) JOIN dist a ON a.vkey = n.vkey JOIN dist b ON b.way_id = a.way_id AND b.pos <> a.pos AND (n.facing = 'both' OR (n.facing = 'forward') = (b.pos > a.pos)) JOIN mem m ON m.vkey = b.vkey
+  WHERE round(abs(b.dist - a.dist), 6) <= CASE n.highway WHEN 'crossing' THEN 15 ELSE 30 END),
+ appr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY metres, way_id, -step) AS r FROM near) q WHERE r = 1),
+ loose AS (SELECT * FROM node ANTI JOIN mem USING (vkey) ANTI JOIN appr USING (node_id)),
+ mem2 AS (SELECT vkey, x, y, cluster FROM mem UNION ALL SELECT l.vkey, min(v.x), min(v.y), l.vkey FROM loose l JOIN v_vertex v USING (vkey) WHERE highway = 'traffic_signals' AND NOT walk GROUP BY l.vkey)"""
+
+
+def vertices(spark, d):
+    """Road vertices with the direction traffic may take."""
+    return view(spark, d, VX).withColumn("oneway", F.when(c("way_id") % 7 == 0, 1).when(c("way_id") % 7 == 1, -1).otherwise(0))
+
+
+def control_nodes(spark, d):
+    n = c("node_id")
+    ctl = view(spark, d, VC).where("on_vertex").select("node_id", c("near_key").alias("vkey"), "highway")
+    tagged = ctl.select("*", F.when(n % 3 == 0, F.lit("both")).when(n % 3 == 1, F.lit("forward")).otherwise(F.lit("backward")).alias("facing"),
+                        ((c("highway") == "stop") & (n % 13 == 0)).alias("stop_all"), ((c("highway") == "traffic_signals") & (n % 4 == 0)).alias("walk"),
+                        F.when(n % 5 == 0, F.lit("unmarked")).when(n % 5 == 1, F.lit("signals")).otherwise(F.lit("marked")).alias("style"))
+    return tagged.join(view(spark, d, VX).select("vkey").distinct(), "vkey", "left_semi")
+
+
+def junctions(spark, d):
+    """(members with lone signals, control nodes at junctions, on arms, between junctions)."""
+    own = members(spark, d)
+    walk = R.junction_walk(view(spark, d, VX), own)
+    every, at, arm, between = R.placed_controls(control_nodes(spark, d), own.select("vkey", "cluster"), walk)
+    return cut(every), at, arm, between
+
+
+@query("control_to_junction", f"WITH RECURSIVE {SEGMENTS}, {DIST}, {CUTS}, {MEMBERS}, {PLACED} SELECT node_id, way_id, junction, CAST(step AS INT) AS step, metres FROM appr", [VX, VC])
+def control_to_junction(spark, d):
+    """The junction that each control node off a junction stands before."""
+    own = members(spark, d)
+    nodes = control_nodes(spark, d).join(own.select("vkey"), "vkey", "left_anti")
+    return R.control_to_junction(R.junction_walk(view(spark, d, VX), own), nodes).select("node_id", "way_id", "junction", "step", "metres")
+
+
+@query("crossing_between_junctions", f"""WITH RECURSIVE {SEGMENTS}, {DIST}, {CUTS}, {MEMBERS}, {PLACED},
+ m AS (SELECT d.*, k.vkey AS ck, CASE WHEN k.vkey IS NOT NULL THEN dist END AS cd FROM dist d LEFT JOIN cuts k ON k.vkey = d.vkey),
+ w AS (SELECT *, last_value(ck IGNORE NULLS) OVER p AS before, last_value(cd IGNORE NULLS) OVER p AS d0, first_value(ck IGNORE NULLS) OVER f AS after, first_value(cd IGNORE NULLS) OVER f AS d1 FROM m
+  WINDOW p AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ first AS (SELECT node_id, w.*, row_number() OVER (PARTITION BY node_id ORDER BY way_id, pos) AS r FROM loose l JOIN w USING (vkey) WHERE highway = 'crossing' OR walk)
+SELECT node_id, way_id, before, after, round((dist - d0) / (d1 - d0), 6) AS fraction FROM first WHERE r = 1 AND before IS NOT NULL AND after IS NOT NULL AND before <> after""", [VX, VC])
+def crossing_between_junctions(spark, d):
+    """Crossings that belong to no junction, between the cuts around them."""
+    between = junctions(spark, d)[3]
+    return R.crossing_between(view(spark, d, VX), cuts(spark, d), between.select("node_id", "vkey")).withColumn("fraction", F.round("fraction", 6))
+
+
+ARMS = """w AS (SELECT v.*, CASE way_id % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS oneway, last_value(ck IGNORE NULLS) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   first_value(ck IGNORE NULLS) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
-  FROM (SELECT v.*, CASE WHEN k.vkey IS NOT NULL THEN v.vkey END AS ck FROM v_vertex v LEFT JOIN cuts k ON k.vkey = v.vkey) v),
- side AS (SELECT m.cluster, way_id, w.vkey, category, after AS far, 1 AS step FROM w JOIN mem m USING (vkey) WHERE after IS NOT NULL UNION ALL SELECT m.cluster, way_id, w.vkey, category, before, -1 FROM w JOIN mem m USING (vkey) WHERE before IS NOT NULL),
- arm AS (SELECT s.cluster, way_id, s.vkey, far, max(step) AS step, min(category) AS category FROM side s LEFT JOIN mem f ON f.vkey = s.far WHERE f.cluster IS NULL OR f.cluster <> s.cluster GROUP BY 1, 2, 3, 4)"""
+  FROM (SELECT v.*, k.vkey AS ck FROM v_vertex v LEFT JOIN cuts k ON k.vkey = v.vkey) v),
+ side AS (SELECT m.cluster, way_id, w.vkey, category, oneway, after AS far, 1 AS step FROM w JOIN mem2 m USING (vkey) WHERE after IS NOT NULL UNION ALL SELECT m.cluster, way_id, w.vkey, category, oneway, before, -1 FROM w JOIN mem2 m USING (vkey) WHERE before IS NOT NULL),
+ arm AS (SELECT *, oneway IN (0, -step) AS inbound FROM (SELECT s.cluster, way_id, s.vkey, far, max(step) AS step, min(category) AS category, min(oneway) AS oneway FROM side s LEFT JOIN mem2 f ON f.vkey = s.far WHERE f.cluster IS NULL OR f.cluster <> s.cluster GROUP BY 1, 2, 3, 4) q)"""
+CHAIN = f"{SEGMENTS}, {DIST}, {CUTS}, {MEMBERS}, {PLACED}, {ARMS}"
 
 
-def arms(spark, d):
-    return R.junction_arms(view(spark, d, VX), lattice_segments(spark, d), members(spark, d), cuts(spark, d))
+def arms(spark, d, every):
+    return R.junction_arms(vertices(spark, d), every, cuts(spark, d))
 
 
-@query("junction_arms", f"WITH {SEGMENTS}, {CUTS}, {MEMBERS}, {ARMS} SELECT cluster, way_id, vkey, far, CAST(step AS INT) AS step, category FROM arm", [VX])
+@query("junction_arms", f"WITH RECURSIVE {CHAIN} SELECT cluster, way_id, vkey, far, CAST(step AS INT) AS step, category, inbound FROM arm", [VX, VC])
 def junction_arms(spark, d):
-    return arms(spark, d)
+    return arms(spark, d, junctions(spark, d)[0])
 
 
-CTRL = """ctrl AS (SELECT m.cluster, CASE highway WHEN 'traffic_signals' THEN 'signal' ELSE highway END AS control FROM v_control v JOIN mem m ON m.vkey = v.near_key WHERE on_vertex AND highway IN ('traffic_signals', 'stop', 'give_way'))"""
 _RK = S.case_of("category", V.ROAD_RANK, 0)
-RULED = f"""ruled AS (SELECT cluster, way_id, vkey, far, step, category, greatest(coalesce(sig, 0), CASE WHEN rk < top OR top = low THEN coalesce(sgn, 0) ELSE 0 END) AS p
- FROM (SELECT a.*, {_RK} AS rk, max({_RK}) OVER (PARTITION BY cluster) AS top, min({_RK}) OVER (PARTITION BY cluster) AS low FROM arm a) a
- LEFT JOIN (SELECT cluster, max(CASE WHEN control = 'signal' THEN 3 END) AS sig, max(CASE control WHEN 'stop' THEN 2 WHEN 'give_way' THEN 1 END) AS sgn FROM ctrl GROUP BY 1) k USING (cluster))"""
+RULED = f"""act AS (SELECT m.cluster, n.*, NULL::BIGINT AS way_id, NULL::INT AS step, NULL::BIGINT AS junction FROM node n JOIN mem2 m USING (vkey) WHERE n.vkey IN (SELECT vkey FROM mem) OR (highway = 'traffic_signals' AND NOT walk AND n.node_id IN (SELECT node_id FROM loose))
+  UNION ALL SELECT m.cluster, n.*, a.way_id, -a.step, a.junction FROM node n JOIN appr a USING (node_id) JOIN mem m ON m.vkey = a.junction),
+ fact AS (SELECT cluster, bool_or(at AND sig) AS sig, bool_or(at AND highway = 'stop') AS stop, bool_or(at AND highway = 'give_way') AS give, bool_or(stop_all) AS every, bool_or(at AND highway = 'mini_roundabout') AS mini,
+   bool_or(at AND highway = 'crossing' AND style = 'unmarked') AS bare, bool_or(walk OR (at AND highway = 'crossing' AND style <> 'unmarked')) AS zebra FROM (SELECT *, way_id IS NULL AS at, highway = 'traffic_signals' AS sig FROM act) q GROUP BY cluster),
+ rank AS (SELECT cluster, max({_RK}) AS top, min({_RK}) AS low, count(DISTINCT category) AS classes FROM arm GROUP BY cluster),
+ flag AS (SELECT cluster, coalesce(sig, FALSE) AS sig, coalesce(stop, FALSE) AS stop, coalesce(give, FALSE) AS give, coalesce(mini, FALSE) AS mini, coalesce(bare, FALSE) AS bare, coalesce(zebra, FALSE) AS zebra, top, coalesce(top > 0 AND top = low, FALSE) AS equal,
+   coalesce(every, FALSE) OR (coalesce(stop, FALSE) AND (coalesce(classes, 0) <= 1 OR coalesce(top > 0 AND top = low, FALSE))) AS all_way FROM rank FULL JOIN fact USING (cluster)),
+ sign AS (SELECT cluster, way_id, junction AS vkey, step, max(CASE highway WHEN 'traffic_signals' THEN 3 WHEN 'stop' THEN 2 WHEN 'give_way' THEN 1 ELSE 0 END) AS own, bool_or(highway = 'crossing' AND style = 'unmarked') AS x0,
+   bool_or(walk OR (highway = 'crossing' AND style = 'signals')) AS x1, max(CASE WHEN highway = 'crossing' THEN style END) AS x2 FROM act WHERE way_id IS NOT NULL GROUP BY 1, 2, 3, 4),
+ ruled AS (SELECT a.*, CASE WHEN inbound THEN greatest(CASE WHEN f.sig THEN 3 ELSE 0 END, CASE WHEN f.all_way OR (f.stop AND {_RK} < top) THEN 2 ELSE 0 END, CASE WHEN f.give AND ({_RK} < top OR equal) THEN 1 ELSE 0 END, coalesce(own, 0)) ELSE 0 END AS p,
+   CASE WHEN x0 THEN 'unmarked' WHEN x1 THEN 'signals' WHEN x2 IS NOT NULL THEN x2 WHEN f.bare THEN 'unmarked' END AS crosswalk
+  FROM arm a JOIN flag f USING (cluster) LEFT JOIN sign s ON s.cluster = a.cluster AND s.way_id = a.way_id AND s.vkey = a.vkey AND s.step = a.step)"""
 
 
 def ruled_arms(spark, d):
-    ctl = view(spark, d, VC).where(c("on_vertex") & c("highway").isin("traffic_signals", "stop", "give_way"))
-    at = ctl.join(members(spark, d).select(c("vkey").alias("near_key"), "cluster"), "near_key") \
-        .select("cluster", F.when(c("highway") == "traffic_signals", F.lit("signal")).otherwise(c("highway")).alias("control"), F.lit(None).cast("bigint").alias("way_id"), F.lit(None).cast("int").alias("step"))
-    return R.junction_controls(arms(spark, d).withColumn("inbound", F.lit(True)), at)
+    """(arms with what holds for them, flags of clusters)."""
+    every, at, on_arm, _ = junctions(spark, d)
+    return R.junction_controls(cut(arms(spark, d, every)), at, on_arm)
 
 
-@query("junction_controls", f"""WITH {SEGMENTS}, {CUTS}, {MEMBERS}, {ARMS}, {CTRL}, {RULED} SELECT cluster, way_id, vkey, far, CASE p WHEN 3 THEN 'signal' WHEN 2 THEN 'stop' WHEN 1 THEN 'give_way' ELSE 'none' END AS control FROM ruled""", [VX, VC])
+@query("junction_controls", f"""WITH RECURSIVE {CHAIN}, {RULED} SELECT cluster, way_id, vkey, far, inbound, CASE p WHEN 3 THEN 'signal' WHEN 2 THEN 'stop' WHEN 1 THEN 'give_way' ELSE 'none' END AS control, crosswalk FROM ruled""", [VX, VC])
 def junction_controls(spark, d):
-    return ruled_arms(spark, d).select("cluster", "way_id", "vkey", "far", "control")
+    return ruled_arms(spark, d)[0].select("cluster", "way_id", "vkey", "far", "inbound", "control", "crosswalk")
 
 
-@query("junction_kind", f"""WITH {SEGMENTS}, {CUTS}, {MEMBERS}, {ARMS}, {CTRL}, {RULED}, s AS (SELECT cluster, count(*) AS n, bool_or(way_id % 41 = 0) AS ring, max(p) AS p, count(DISTINCT way_id) AS through FROM ruled GROUP BY 1)
-SELECT cluster, kind FROM (SELECT cluster, CASE WHEN n <= 1 AND cluster % 5 = 0 THEN 'turning_circle' WHEN ring THEN 'roundabout' WHEN cluster % 7 = 0 THEN 'mini_roundabout' WHEN p = 3 THEN 'signals' WHEN cluster % 11 = 0 THEN 'all_way_stop'
- WHEN bool_stop THEN 'stop' WHEN bool_give THEN 'give_way' WHEN n >= 3 AND through <= 1 THEN 'service' WHEN n < 3 THEN NULL ELSE 'uncontrolled' END AS kind
- FROM (SELECT s.*, s.p = 2 AS bool_stop, s.p = 1 AS bool_give FROM s) t) u WHERE kind IS NOT NULL""", [VX, VC])
+@query("junction_kind", f"""WITH RECURSIVE {CHAIN}, {RULED}, s AS (SELECT cluster, count(*) AS n, bool_or(way_id % 41 = 0) AS ring, max(p) AS p, count(DISTINCT CASE WHEN category <> 'road_service' THEN way_id END) AS through FROM ruled GROUP BY 1)
+SELECT cluster, kind FROM (SELECT cluster, CASE WHEN ring THEN 'roundabout' WHEN mini THEN 'mini_roundabout' WHEN p = 3 THEN 'signals' WHEN all_way THEN 'all_way_stop'
+ WHEN p = 2 THEN 'stop' WHEN p = 1 THEN 'give_way' WHEN n >= 3 AND through <= 1 THEN 'service' WHEN coalesce(n, 0) < 3 THEN NULL ELSE 'uncontrolled' END AS kind FROM flag LEFT JOIN s USING (cluster)) u WHERE kind IS NOT NULL""", [VX, VC])
 def junction_kind(spark, d):
-    a = ruled_arms(spark, d).withColumn("roundabout", c("way_id") % 41 == 0)
-    marks = a.select("cluster").distinct().select("cluster", (c("cluster") % 7 == 0).alias("mini"), (c("cluster") % 5 == 0).alias("turning"), (c("cluster") % 11 == 0).alias("all_way"))
-    return R.junction_kind(a, marks)
+    ruled, flags = ruled_arms(spark, d)
+    return R.junction_kind(ruled.withColumn("roundabout", c("way_id") % 41 == 0), flags)
 
 
 @query("junction_box", """WITH a AS (SELECT fid AS cluster, x0 AS cx, y0 AS cy, CAST(w AS DOUBLE) / 2 AS half_w, 3.0 AS sidewalk, unnest([1.0, -1.0, 0.0]) AS ox, unnest([0.0, 0.0, 1.0]) AS oy FROM v_building),
@@ -124,12 +195,16 @@ def junction_box(spark, d):
     return R.junction_box(a).select("cluster", "x0", "y0", "x1", "y1")
 
 
-@query("dismiss_under_bridges", f"""WITH {SEGMENTS}, {CUTS}, {MEMBERS} SELECT vkey FROM mem WHERE vkey NOT IN (SELECT vkey FROM v_vertex WHERE street_no = 7)
- AND NOT EXISTS (SELECT 1 FROM v_building b WHERE b.kind = 'industrial' AND mem.x > b.x0 AND mem.x < b.x0 + b.w AND mem.y > b.y0 AND mem.y < b.y0 + b.h)""", [VX, VB])
+@query("dismiss_under_bridges", f"""WITH RECURSIVE {CHAIN}, centre AS (SELECT cluster, avg(x) AS x, avg(y) AS y FROM mem2 GROUP BY cluster) SELECT cluster FROM centre
+ WHERE cluster NOT IN (SELECT cluster FROM arm WHERE way_id IN (SELECT way_id FROM v_vertex WHERE street_no = 7))
+ AND NOT EXISTS (SELECT 1 FROM v_building b WHERE b.kind = 'industrial' AND x BETWEEN b.x0 AND b.x0 + b.w AND y BETWEEN b.y0 AND b.y0 + b.h)""", [VX, VC, VB])
 def dismiss_under_bridges(spark, d):
-    lifted = view(spark, d, VX).where("street_no = 7")
+    """Junctions that no bridge covers and no lifted road belongs to."""
+    every = junctions(spark, d)[0]
+    at = view(spark, d, VX).groupBy("vkey").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    lifted = view(spark, d, VX).where("street_no = 7").select("way_id").distinct()
     decks = view(spark, d, VB).where("kind = 'industrial'")
-    return N.dismiss_under_bridges(members(spark, d).select("vkey", "x", "y"), lifted, decks).select("vkey")
+    return R.dismissed(R.junction_centre(every.join(at, "vkey")), arms(spark, d, every), lifted, decks).select("cluster")
 
 
 # ------------------------------------------------------------------- bridges

@@ -12,15 +12,16 @@ from ..operators import edits as E
 from ..operators import joins as J
 from ..operators import layers as L
 from ..operators import roads as R
+from ..operators import rings as G2
 from ..operators import scan
 from ..operators import tiles as R2
 from . import sqltext as S
 from .q_classify import draw
-from .q_joins import ROAD_TILES, SEGMENTS, TILES, centres, lattice_segments, road_tiles
+from .q_joins import MISSING, ROAD_TILES, SEGMENTS, TILES, around, centres, lattice_segments, not_built_on, road_tiles
 from .registry import query
-from .views import pick, table, view
+from .views import outlines, pick, table, view
 
-VB, VP, VA, VX, VC = "v_building", "v_point", "v_area", "v_vertex", "v_control"
+VB, VP, VA, VX, VC, VO, VG = "v_building", "v_point", "v_area", "v_vertex", "v_control", "v_outline", "v_ground"
 
 
 def c(name):
@@ -50,41 +51,6 @@ def next_prev_cut(spark, d):
     return R.next_prev_cut(view(spark, d, VX), cuts(spark, d)).select("way_id", "pos", "before", "after")
 
 
-MARKS = """jn AS (SELECT vkey FROM cuts WHERE links >= 6),
- ctl AS (SELECT near_key AS vkey, min(node_id) AS node_id, arg_min(highway, node_id) AS highway FROM v_control WHERE on_vertex GROUP BY 1),
- marks AS (SELECT d.way_id, d.pos, d.vkey, d.dist, c.node_id, c.highway, CASE WHEN j.vkey IS NOT NULL AND c.node_id IS NULL THEN d.vkey END AS junction,
-  CASE c.node_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'forward' ELSE 'backward' END AS facing FROM dist d LEFT JOIN ctl c USING (vkey) LEFT JOIN jn j USING (vkey))"""
-
-
-def marks(spark, d):
-    """Road vertices with distances, control nodes and junctions on them."""
-    deg = R.vertex_degree(lattice_segments(spark, d))
-    ctl = view(spark, d, VC).where("on_vertex").groupBy(c("near_key").alias("vkey")).agg(F.min("node_id").alias("node_id"), F.min_by("highway", "node_id").alias("highway"))
-    m = R.cumulative_distance(view(spark, d, VX)).join(ctl, "vkey", "left") \
-        .join(deg.select("vkey", "cut", (c("cut") & (c("links") >= 6)).alias("_j")), "vkey", "left")
-    facing = F.when(c("node_id") % 3 == 0, F.lit("both")).when(c("node_id") % 3 == 1, F.lit("forward")).otherwise(F.lit("backward"))
-    return m.withColumn("facing", facing).withColumn("junction", F.when(c("_j") & c("node_id").isNull(), c("vkey")))
-
-
-@query("control_to_junction", f"""WITH {SEGMENTS}, {DIST}, {CUTS}, {MARKS}, pairs AS (
- SELECT a.node_id, a.way_id, b.junction, CASE WHEN b.pos > a.pos THEN 1 ELSE -1 END AS step, abs(b.dist - a.dist) AS metres, CASE a.highway WHEN 'crossing' THEN 15 ELSE 30 END AS lim
- FROM marks a JOIN marks b ON a.way_id = b.way_id AND a.node_id IS NOT NULL AND b.junction IS NOT NULL AND b.pos <> a.pos AND (a.facing = 'both' OR (a.facing = 'forward') = (b.pos > a.pos)))
-SELECT node_id, way_id, junction, CAST(step AS INT) AS step, round(metres, 6) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(metres, 6), -step, way_id) AS n FROM pairs WHERE metres <= lim) q WHERE n = 1""", [VX, VC])
-def control_to_junction(spark, d):
-    m = marks(spark, d).withColumn("dist", F.round("dist", 9))
-    limit = F.when(c("highway") == "crossing", F.lit(15.0)).otherwise(F.lit(30.0))
-    out = R.control_to_junction(m, limit)
-    return out.select("node_id", "way_id", "junction", "step", F.round("metres", 6).alias("metres"))
-
-
-@query("crossing_between_junctions", f"""WITH {SEGMENTS}, {DIST}, {CUTS}, {MARKS}, m AS (SELECT m.*, CASE WHEN k.vkey IS NOT NULL THEN m.vkey END AS ck, CASE WHEN k.vkey IS NOT NULL THEN dist END AS cd FROM marks m LEFT JOIN cuts k ON k.vkey = m.vkey),
- w AS (SELECT *, last_value(ck IGNORE NULLS) OVER p AS before, last_value(cd IGNORE NULLS) OVER p AS d0, first_value(ck IGNORE NULLS) OVER f AS after, first_value(cd IGNORE NULLS) OVER f AS d1 FROM m
-  WINDOW p AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-SELECT node_id, way_id, before, after, round((dist - d0) / (d1 - d0), 6) AS fraction FROM w WHERE node_id IS NOT NULL AND before IS NOT NULL AND after IS NOT NULL AND before <> after""", [VX, VC])
-def crossing_between_junctions(spark, d):
-    return R.crossing_between(marks(spark, d)).withColumn("fraction", F.round("fraction", 6))
-
-
 @query("sample_along_line", """WITH seglen AS (SELECT fid, x0, y0, w, h, w + h AS len FROM v_building WHERE w + h >= 12)
 SELECT fid, k, CAST(CASE WHEN 4 + 6 * k <= w THEN x0 + 4 + 6 * k ELSE x0 + w END AS DOUBLE) AS x, CAST(CASE WHEN 4 + 6 * k <= w THEN y0 ELSE y0 + 4 + 6 * k - w END AS DOUBLE) AS y
 FROM (SELECT *, unnest(range((len - 8) // 6 + 1)) AS k FROM seglen) q""", [VB])
@@ -173,10 +139,9 @@ def painter_order(spark, d):
 
 
 # ------------------------------------------------------------------- firsts
-@query("first_by_area", """SELECT fid, arg_min(aid, side * side * 10000000 + aid) AS aid FROM (SELECT *, x0 + w / 2.0 AS px, y0 + h / 2.0 AS py FROM v_building) b JOIN v_area a
- ON px > a.x0 AND px < a.x0 + side AND py > a.y0 AND py < a.y0 + side GROUP BY fid""", [VB, VA])
+@query("first_by_area", f"SELECT fid, arg_min(aid, (area, aid)) AS aid FROM {around()} q GROUP BY fid", [VB, VA, VG])
 def first_by_area(spark, d):
-    hits = J.smallest_area(centres(spark, d), view(spark, d, VA).withColumn("area_id", c("aid")), ["area_id"], "fid")
+    hits = G2.smallest_around(centres(spark, d), outlines(spark, d, VG), view(spark, d, VA).withColumn("area_id", c("aid")), ["area_id"], "fid")
     return hits.where("covered").select("fid", c("area_id").alias("aid"))
 
 
@@ -272,12 +237,10 @@ def union_dedupe(spark, d):
     return reads.groupBy("id").agg(F.max_by("src", "o").alias("src"))
 
 
-@query("fill_from", """SELECT 'mapped' AS source, fid AS id FROM v_building UNION ALL
-SELECT 'filled', -1000000000 - pid FROM v_point WHERE NOT EXISTS (SELECT 1 FROM v_building WHERE x > x0 AND x < x0 + w AND y > y0 AND y < y0 + h)""", [VB, VP])
+@query("fill_from", f"SELECT 'mapped' AS source, fid AS id FROM v_building UNION ALL SELECT 'filled', -1000000000 - pid FROM {MISSING} q", [VB, VP, VO])
 def fill_from(spark, d):
-    b = view(spark, d, VB)
-    missing = J.only_missing(view(spark, d, VP), b).select(F.lit("filled").alias("source"), (-1000000000 - c("pid")).alias("id"))
-    return b.select(F.lit("mapped").alias("source"), c("fid").alias("id")).unionByName(missing)
+    missing = not_built_on(spark, d).select(F.lit("filled").alias("source"), (-1000000000 - c("pid")).alias("id"))
+    return view(spark, d, VB).select(F.lit("mapped").alias("source"), c("fid").alias("id")).unionByName(missing)
 
 
 @query("base_plus_added", """SELECT aid, CASE WHEN aid % 5 = 1 THEN 'park' ELSE category END AS category FROM v_area WHERE aid % 7 <> 0 UNION ALL SELECT 1000000000 + aid, 'orchard' FROM v_area WHERE aid % 9 = 0""", [VA])

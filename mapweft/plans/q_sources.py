@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import geo as P
 from ..operators import pieces as PC
 from ..operators import quality as Q
+from ..operators import rings as R
 from ..sources import readers as RD
 from ..sources import writers as WR
 from ..streaming import streams as ST
 from . import sqltext as S
 from .q_census import CHUNKS, PEOPLE, people
 from .q_classify import draw
+from .q_joins import SEGMENTS, lattice_segments
 from .q_scalar import xy
 from .registry import query
-from .views import table, view
+from .views import outlines, table, view
 
 VB, VP, VA = "v_building", "v_point", "v_area"
 
@@ -221,11 +223,34 @@ def clip_classify(spark, d):
     return view(spark, d, VB).select("fid", Q.clip_classify(ring, by, bx, by + 2, bx + 2).alias("outcome"))
 
 
-@query("shape_filter", """SELECT fid FROM (SELECT fid, x0 + w / 2.0 AS px, y0 + h / 2.0 AS py FROM v_building) q WHERE px > 200.25 AND py > 200.25 AND px + py < 1700.6""", [VB])
+# Two drawn shapes: a triangle and a crescent.
+_DRAWN = {1: [(200.25, 200.25), (1500.35, 200.25), (200.25, 1500.35)],
+          2: [(900.5, 900.5), (1400.5, 900.5), (1400.5, 1400.5), (900.5, 1400.5), (900.5, 1300.5), (1300.5, 1300.5), (1300.5, 1000.5), (900.5, 1000.5)]}
+_DRAWN_EDGES = [(sid, *a, *b) for sid, pts in _DRAWN.items() for a, b in zip(pts, pts[1:] + pts[:1])]
+_SIDE = "sign(({1}x - {0}x) * ({2}y - {0}y) - ({1}y - {0}y) * ({2}x - {0}x))"
+
+
+@query("shape_filter", f"""WITH {SEGMENTS}, shape(sid, ax, ay, ex, ey) AS (SELECT * FROM (VALUES {', '.join(str(e) for e in _DRAWN_EDGES)})),
+ e AS (SELECT * FROM v_outline WHERE ring = 0),
+ line AS (SELECT fid, (max(CASE WHEN ay <= mid THEN ay END) + min(CASE WHEN ay > mid THEN ay END)) / 2.0 AS y FROM e JOIN (SELECT fid, (min(ay) + max(ay)) / 2.0 AS mid FROM e GROUP BY fid) m USING (fid) GROUP BY fid),
+ hit AS (SELECT fid, y, ax + (y - ay) * (ex - ax) / (ey - ay)::DOUBLE AS x FROM e JOIN line USING (fid) WHERE (ay > y) <> (ey > y)),
+ span AS (SELECT fid, y, x AS x1, lead(x) OVER p AS x2, row_number() OVER p AS i FROM hit WINDOW p AS (PARTITION BY fid ORDER BY x)),
+ spot AS (SELECT fid, arg_min((x1 + x2) / 2.0, (x1 - x2, x1)) AS x, min(y) AS y FROM span WHERE i % 2 = 1 GROUP BY fid),
+ place AS (SELECT 'area' AS kind, fid AS id, x, y FROM spot UNION ALL SELECT 'point', pid, x, y FROM v_point UNION ALL SELECT 'line', way_id, arg_min(x, pos), arg_min(y, pos) FROM v_vertex GROUP BY way_id),
+ s AS (SELECT way_id, ax AS px, ay AS py, bx AS qx, bv AS qy FROM seg), w AS (SELECT ax AS ux, ay AS uy, ex AS vx, ey AS vy FROM shape)
+SELECT kind, id FROM {S.ring_hits("(SELECT kind || id AS k, x, y FROM place)", "shape", "k", "sid")} h JOIN (SELECT kind || id AS k, kind, id FROM place) p USING (k) WHERE inside
+UNION SELECT 'line', way_id FROM s, w WHERE least(px, qx) <= greatest(ux, vx) AND least(ux, vx) <= greatest(px, qx) AND least(py, qy) <= greatest(uy, vy) AND least(uy, vy) <= greatest(py, qy)
+ AND {_SIDE.format('u', 'v', 'p')} * {_SIDE.format('u', 'v', 'q')} <= 0 AND {_SIDE.format('p', 'q', 'u')} * {_SIDE.format('p', 'q', 'v')} <= 0""", [VB, VP, "v_vertex", "v_outline"])
 def shape_filter(spark, d):
-    """Buildings whose centre is in a drawn triangle."""
-    ring = F.array(*[xy(F.lit(a), F.lit(b)) for a, b in ((200.25, 200.25), (1500.35, 200.25), (200.25, 1500.35))])
-    return view(spark, d, VB).where(P.point_in_ring(ring, c("x0") + c("w") / 2.0, c("y0") + c("h") / 2.0)).select("fid")
+    """Features of drawn shapes: areas by a place inside them, lines that meet a shape, points within."""
+    shapes = spark.createDataFrame([(sid, *map(float, e)) for sid, *e in _DRAWN_EDGES], "sid int, ax double, ay double, bx double, by double")
+    spots = R.interior_points(outlines(spark, d, "v_outline").where("ring = 0"), "fid").select(F.lit("area").alias("kind"), c("fid").alias("id"), "x", "y")
+    points = view(spark, d, "v_point").select(F.lit("point").alias("kind"), c("pid").alias("id"), "x", "y")
+    # A way of one vertex is a point.
+    single = view(spark, d, "v_vertex").groupBy(c("way_id").alias("id")).agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y")).where("n = 1")
+    points = points.unionByName(single.select(F.lit("line").alias("kind"), "id", "x", "y"))
+    lines = lattice_segments(spark, d).select(F.lit("line").alias("kind"), c("way_id").alias("id"), "pos", c("ax").alias("px"), c("ay").alias("py"), c("bx").alias("qx"), c("by").alias("qy"))
+    return R.in_any_shape(spots.unionByName(points), lines, shapes)
 
 
 _SHOPTAG = "CASE fid % 5 WHEN 0 THEN 'retail' WHEN 1 THEN 'yes' WHEN 2 THEN 'house' WHEN 3 THEN 'shed' ELSE '' END"

@@ -44,6 +44,24 @@ def draw(a: str, b: str, salt: int = 0) -> str:
     return f"((xor(xor({a} * 73856093, {b} * 19349663), CAST({salt * 83492791} AS BIGINT)) % 1000003) / 1000003.0)"
 
 
+def ring_hits(points: str, outline: str, pid: str, key: str, x: str = "x", y: str = "y", reach: int = 0) -> str:
+    """(pid, key, inside, distance) of points within `reach` of the boxes of outlines; ring-wise if the key says so."""
+    t = "greatest(0, least(1, (({x} - ax) * (ex - ax) + ({y} - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay))::DOUBLE))"
+    t = t.replace("{x}", f"p.{x}").replace("{y}", f"p.{y}")
+    return f"""(SELECT p.{pid}, {key},
+   count(*) FILTER (WHERE (ay > p.{y}) <> (ey > p.{y}) AND p.{x} < ax + (p.{y} - ay) * (ex - ax) / (ey - ay)::DOUBLE) % 2 = 1
+   AND NOT bool_or((ex - ax) * (p.{y} - ay) = (ey - ay) * (p.{x} - ax) AND p.{x} BETWEEN least(ax, ex) AND greatest(ax, ex) AND p.{y} BETWEEN least(ay, ey) AND greatest(ay, ey)) AS inside,
+   min(sqrt(power(p.{x} - (ax + {t} * (ex - ax)), 2) + power(p.{y} - (ay + {t} * (ey - ay)), 2))) AS distance
+ FROM {points} p JOIN (SELECT {key}, min(ax) - {reach} AS l, max(ax) + {reach} AS r, min(ay) - {reach} AS b, max(ay) + {reach} AS u FROM {outline} GROUP BY {key}) box
+   ON p.{x} BETWEEN l AND r AND p.{y} BETWEEN b AND u JOIN {outline} USING ({key}) GROUP BY p.{pid}, {key})"""
+
+
+def ring_area(outline: str, key: str) -> str:
+    """(key, area): outer ring less holes."""
+    return f"""(SELECT {key}, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area
+ FROM (SELECT {key}, ring, abs(sum(ax * ey - ex * ay)) / 2.0 AS a FROM {outline} GROUP BY {key}, ring) r GROUP BY {key})"""
+
+
 def in_boxes(lat: str, lon: str, boxes) -> str:
     return "(" + " OR ".join(f"({lat} BETWEEN {s} AND {n} AND {lon} BETWEEN {w} AND {e})" for s, n, w, e in boxes) + ")"
 

@@ -32,6 +32,32 @@ _px, _py = _town("c_custkey", 1500)
 _ax, _ay = _town("s_suppkey", 100)
 _rx, _ry = _town("o_orderkey", 15000)
 
+# Outlines of boxes by id % 4: a rectangle, a slanted quad, an L, a rectangle with a hole. Offsets from the box's corner.
+_OUTLINE_X = {0: ["0", "w", "w", "0"], 1: ["0", "w - p", "w", "p"], 2: ["0", "w", "w", "v", "v", "0"], 3: ["0", "w", "w", "0", "u", "u", "w - u", "w - u"]}
+_OUTLINE_Y = {0: ["0", "0", "h", "h"], 1: ["q", "0", "h - q", "h"], 2: ["0", "0", "m", "m", "h", "h"], 3: ["0", "0", "h", "h", "t", "h - t", "h - t", "t"]}
+
+
+def _corner(offsets: dict[int, list[str]], k: str) -> str:
+    def arms(values: list[str]) -> str:
+        return " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+
+    return "CASE shape " + " ".join(f"WHEN {shape} THEN CASE {k} {arms(values)} END" for shape, values in offsets.items()) + " END"
+
+
+def outline(boxes: str, key: str, w: str = "w", h: str = "h") -> str:
+    """The edges of an outline for each box: key, ring (0, holes from 1), pos, from (ax, ay) to (ex, ey)."""
+    part = lambda side, n: f"CAST(floor({side} / {n}) AS BIGINT)"
+    return f"""
+SELECT {key}, CASE WHEN pos > 3 AND shape = 3 THEN 1 ELSE 0 END AS ring, pos,
+       x0 + {_corner(_OUTLINE_X, "pos")} AS ax, y0 + {_corner(_OUTLINE_Y, "pos")} AS ay,
+       x0 + {_corner(_OUTLINE_X, "nxt")} AS ex, y0 + {_corner(_OUTLINE_Y, "nxt")} AS ey
+FROM (SELECT {key}, x0, y0, {w} AS w, {h} AS h, {key} % 4 AS shape, pos,
+             {part(w, 3)} AS p, {part(h, 3)} AS q, {part(w, 2)} AS v, {part(h, 2)} AS m, {part(w, 4)} AS u, {part(h, 4)} AS t,
+             CASE WHEN {key} % 4 = 2 THEN (pos + 1) % 6 WHEN pos > 3 THEN 4 + (pos + 1) % 4 ELSE (pos + 1) % 4 END AS nxt
+      FROM ({boxes.strip()}) box CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS corner(pos)
+      WHERE pos < CASE {key} % 4 WHEN 2 THEN 6 WHEN 3 THEN 8 ELSE 4 END) o"""
+
+
 VIEWS = {
     # Building footprints, axis-aligned, half-open in tiles.
     "v_building": f"""
@@ -130,13 +156,16 @@ SELECT p_partkey AS id,
        p_name AS name
 FROM part""",
 }
+# Outlines of the buildings and of the land-use areas.
+VIEWS["v_outline"] = outline(VIEWS["v_building"], "fid")
+VIEWS["v_ground"] = outline(VIEWS["v_area"], "aid", "side", "side")
 # Every tag column of v_tagged; "levels" stands for building:levels.
 TAG_COLUMNS = ["highway", "building", "natural", "landuse", "amenity", "shop", "leisure", "tourism", "aeroway", "railway",
                "barrier", "waterway", "man_made", "historic", "surface", "area", "tunnel", "oneway", "military", "lanes",
                "width", "height", "levels", "cuisine", "wood", "leaf_type", "fence_type", "layer", "bridge", "direction",
                "crossing", "healthcare", "water", "junction", "office", "name"]
 USES_TABLE = {"v_building": ["part"], "v_point": ["customer"], "v_area": ["supplier"], "v_vertex": ["orders", "lineitem"],
-              "v_control": ["events"], "v_patch": ["events"], "v_tagged": ["part"]}
+              "v_control": ["events"], "v_patch": ["events"], "v_tagged": ["part"], "v_outline": ["part"], "v_ground": ["supplier"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,6 +181,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def outlines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Edges of a view of outlines, as the ring operators take them."""
+    return view(spark, sf_dir, name).withColumnsRenamed({"ex": "bx", "ey": "by"})
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_tagged with its tags gathered into a map column `t`."""
     from pyspark.sql import functions as F
@@ -167,5 +201,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL with the views it needs as common table expressions."""
     head = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
-    return f"WITH {head}\n{sql.strip()}" if not sql.lstrip().upper().startswith("WITH ") \
-        else f"WITH {head},\n{sql.strip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{head},\n{sql.strip()[len(start):]}"
+    return f"WITH {head}\n{sql.strip()}"

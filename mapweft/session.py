@@ -59,10 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def _whole(size) -> int:
+    """A size of Catalyst as an int; what loops of joins have multiplied beyond any disk counts as an exabyte."""
+    return int(str(size)) if size.bitLength() < 60 else 1 << 60
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan. No job runs."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) if isinstance(size, int) else int(str(size))
+    return _whole(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -72,7 +76,7 @@ def input_bytes(df: DataFrame) -> int:
     better measure of whether one key could overload a task.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(_whole(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def fits_one_task(df: DataFrame) -> bool:
