@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.tags import case
 from ..functions.text import lookup
+from ..session import store
 from . import scan
 from .bucket import bucket_join, point
 
@@ -130,8 +131,8 @@ def placed_controls(nodes: DataFrame, members: DataFrame, walk: DataFrame) -> tu
     its own, unless it serves a crossing: that lies between junctions, as do crossings.
     """
     own = nodes.join(members, "vkey")
-    rest = nodes.join(members.select("vkey"), "vkey", "left_anti")
-    reach = control_to_junction(walk, rest)
+    rest = store(nodes.join(members.select("vkey"), "vkey", "left_anti"))
+    reach = store(control_to_junction(walk, rest))
     arm = rest.join(reach.drop("metres"), "node_id").join(members.withColumnRenamed("vkey", "junction"), "junction")
     left = rest.join(reach.select("node_id"), "node_id", "left_anti")
     alone = (c("highway") == "traffic_signals") & ~c("walk")

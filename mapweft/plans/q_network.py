@@ -10,7 +10,7 @@ from ..operators import buildings as B
 from ..operators import greedy
 from ..operators import network as N
 from ..operators import roads as R
-from ..session import cut
+from ..session import store
 from . import sqltext as S
 from .q_joins import SEGMENTS, lattice_segments
 from .q_order import CUTS, DIST, cuts
@@ -67,8 +67,8 @@ MEMBERS = f"""seed AS MATERIALIZED (SELECT v.vkey, min(x) AS x, min(y) AS y, max
 
 def members(spark, d):
     """Seeds with their clusters, found once for all that a query asks of them."""
-    s = cut(junction_seeds(spark, d))
-    return cut(s.join(N.junction_clusters(s), "vkey").select("vkey", "x", "y", "cluster"))
+    s = store(junction_seeds(spark, d))
+    return store(s.join(N.junction_clusters(s), "vkey").select("vkey", "x", "y", "cluster"))
 
 
 @query("junction_clusters", f"WITH RECURSIVE {SEGMENTS}, {CUTS}, {MEMBERS} SELECT vkey, cluster FROM mem", [VX, VC])
@@ -111,7 +111,7 @@ def junctions(spark, d):
     own = members(spark, d)
     walk = R.junction_walk(view(spark, d, VX), own)
     every, at, arm, between = R.placed_controls(control_nodes(spark, d), own.select("vkey", "cluster"), walk)
-    return cut(every), at, arm, between
+    return store(every), at, arm, between
 
 
 @query("control_to_junction", f"WITH RECURSIVE {SEGMENTS}, {DIST}, {CUTS}, {MEMBERS}, {PLACED} SELECT node_id, way_id, junction, CAST(step AS INT) AS step, metres FROM appr", [VX, VC])
@@ -122,16 +122,19 @@ def control_to_junction(spark, d):
     return R.control_to_junction(R.junction_walk(view(spark, d, VX), own), nodes).select("node_id", "way_id", "junction", "step", "metres")
 
 
-@query("crossing_between_junctions", f"""WITH RECURSIVE {SEGMENTS}, {DIST}, {CUTS}, {MEMBERS}, {PLACED},
+NODE = PLACED[: PLACED.index(",\n near AS")]
+
+
+@query("crossing_between_junctions", f"""WITH {SEGMENTS}, {DIST}, {CUTS}, {NODE},
  m AS (SELECT d.*, k.vkey AS ck, CASE WHEN k.vkey IS NOT NULL THEN dist END AS cd FROM dist d LEFT JOIN cuts k ON k.vkey = d.vkey),
  w AS (SELECT *, last_value(ck IGNORE NULLS) OVER p AS before, last_value(cd IGNORE NULLS) OVER p AS d0, first_value(ck IGNORE NULLS) OVER f AS after, first_value(cd IGNORE NULLS) OVER f AS d1 FROM m
   WINDOW p AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY way_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
- first AS (SELECT node_id, w.*, row_number() OVER (PARTITION BY node_id ORDER BY way_id, pos) AS r FROM loose l JOIN w USING (vkey) WHERE highway = 'crossing' OR walk)
+ first AS (SELECT node_id, w.*, row_number() OVER (PARTITION BY node_id ORDER BY way_id, pos) AS r FROM node n JOIN w USING (vkey) WHERE highway = 'crossing' OR walk)
 SELECT node_id, way_id, before, after, round((dist - d0) / (d1 - d0), 6) AS fraction FROM first WHERE r = 1 AND before IS NOT NULL AND after IS NOT NULL AND before <> after""", [VX, VC])
 def crossing_between_junctions(spark, d):
-    """Crossings that belong to no junction, between the cuts around them."""
-    between = junctions(spark, d)[3]
-    return R.crossing_between(view(spark, d, VX), cuts(spark, d), between.select("node_id", "vkey")).withColumn("fraction", F.round("fraction", 6))
+    """Where every crossing lies between the cuts around it."""
+    nodes = control_nodes(spark, d).where((c("highway") == "crossing") | c("walk")).select("node_id", "vkey")
+    return R.crossing_between(view(spark, d, VX), cuts(spark, d), nodes).withColumn("fraction", F.round("fraction", 6))
 
 
 ARMS = """w AS (SELECT v.*, CASE way_id % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS oneway, last_value(ck IGNORE NULLS) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -154,8 +157,8 @@ def junction_arms(spark, d):
 _RK = S.case_of("category", V.ROAD_RANK, 0)
 RULED = f"""act AS (SELECT m.cluster, n.*, NULL::BIGINT AS way_id, NULL::INT AS step, NULL::BIGINT AS junction FROM node n JOIN mem2 m USING (vkey) WHERE n.vkey IN (SELECT vkey FROM mem) OR (highway = 'traffic_signals' AND NOT walk AND n.node_id IN (SELECT node_id FROM loose))
   UNION ALL SELECT m.cluster, n.*, a.way_id, -a.step, a.junction FROM node n JOIN appr a USING (node_id) JOIN mem m ON m.vkey = a.junction),
- fact AS (SELECT cluster, bool_or(at AND sig) AS sig, bool_or(at AND highway = 'stop') AS stop, bool_or(at AND highway = 'give_way') AS give, bool_or(stop_all) AS every, bool_or(at AND highway = 'mini_roundabout') AS mini,
-   bool_or(at AND highway = 'crossing' AND style = 'unmarked') AS bare, bool_or(walk OR (at AND highway = 'crossing' AND style <> 'unmarked')) AS zebra FROM (SELECT *, way_id IS NULL AS at, highway = 'traffic_signals' AS sig FROM act) q GROUP BY cluster),
+ fact AS (SELECT cluster, bool_or(own_ AND sig) AS sig, bool_or(own_ AND highway = 'stop') AS stop, bool_or(own_ AND highway = 'give_way') AS give, bool_or(stop_all) AS every, bool_or(own_ AND highway = 'mini_roundabout') AS mini,
+   bool_or(own_ AND highway = 'crossing' AND style = 'unmarked') AS bare, bool_or(walk OR (own_ AND highway = 'crossing' AND style <> 'unmarked')) AS zebra FROM (SELECT *, way_id IS NULL AS own_, highway = 'traffic_signals' AS sig FROM act) q GROUP BY cluster),
  rank AS (SELECT cluster, max({_RK}) AS top, min({_RK}) AS low, count(DISTINCT category) AS classes FROM arm GROUP BY cluster),
  flag AS (SELECT cluster, coalesce(sig, FALSE) AS sig, coalesce(stop, FALSE) AS stop, coalesce(give, FALSE) AS give, coalesce(mini, FALSE) AS mini, coalesce(bare, FALSE) AS bare, coalesce(zebra, FALSE) AS zebra, top, coalesce(top > 0 AND top = low, FALSE) AS equal,
    coalesce(every, FALSE) OR (coalesce(stop, FALSE) AND (coalesce(classes, 0) <= 1 OR coalesce(top > 0 AND top = low, FALSE))) AS all_way FROM rank FULL JOIN fact USING (cluster)),
@@ -169,7 +172,7 @@ RULED = f"""act AS (SELECT m.cluster, n.*, NULL::BIGINT AS way_id, NULL::INT AS
 def ruled_arms(spark, d):
     """(arms with what holds for them, flags of clusters)."""
     every, at, on_arm, _ = junctions(spark, d)
-    return R.junction_controls(cut(arms(spark, d, every)), at, on_arm)
+    return R.junction_controls(store(arms(spark, d, every)), at, on_arm)
 
 
 @query("junction_controls", f"""WITH RECURSIVE {CHAIN}, {RULED} SELECT cluster, way_id, vkey, far, inbound, CASE p WHEN 3 THEN 'signal' WHEN 2 THEN 'stop' WHEN 1 THEN 'give_way' ELSE 'none' END AS control, crosswalk FROM ruled""", [VX, VC])
