@@ -139,14 +139,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     if not n:
         return frame.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     axes = principal_axes(single, dims)
-    first_axis = axes[:, 0].tolist()
-    total = lambda values: F.aggregate(values, zero, lambda s, x: s + x)
-    top = F.aggregate("vector", zero, lambda s, x: F.greatest(s, F.abs(x).cast("double")))
-    scaled = F.transform("vector", lambda x: x / F.col("top"))  # no overflow in the squares
-    along = total(F.zip_with("scaled", F.array(*[F.lit(x) for x in first_axis]), lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero)))
-    cosine = along / F.sqrt(total(F.transform("scaled", lambda x: x * x)))
-    turned = single.withColumn("top", top).withColumn("scaled", scaled).withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    placed = with_prefix(turned.drop("top", "scaled"), ["angle", "key"], "copies", "rank", "_ignored")
+    first_axis = axes[:, 0]
+
+    @F.pandas_udf("double")
+    def turned(column: pd.Series) -> pd.Series:
+        return pd.Series(np.arccos(np.clip(_units(_matrix(column, dims)) @ first_axis, -1, 1)))
+
+    placed = with_prefix(single.withColumn("angle", turned("vector")), ["angle", "key"], "copies", "rank", "_ignored")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-n // MOST), min(-(-n // BLOCK), math.ceil(2 * math.sqrt(parts))))
     placed = cut(placed.withColumn("block", F.floor(F.col("rank") * blocks / n).cast("int")))
