@@ -18,7 +18,7 @@ HEADLINE = [
     "cumulative_road_distance", "next_prev_cut", "control_to_junction", "control_near_segment", "junction_arms",
     "rasterize_polygon", "rasterize_line", "ground_cover", "erode_mask", "directional_nearest", "tile_runs", "kerb_candidates",
     "connected_tiles", "block_density", "fold_edits", "trailing_rate", "capped_layers", "top_landmarks", "placement_order",
-    "scan_geojsonseq", "sink_feature_grid",
+    "scan_geojsonseq", "sink_feature_grid", "junction_clusters", "shape_filter", "assemble_rings",
 ]
 
 

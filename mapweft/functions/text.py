@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,33 +83,49 @@ def piece_name(parent: Column, row: Column, col: Column) -> Column:
     return F.concat(parent, F.lit("__r"), row.cast("string"), F.lit("_c"), col.cast("string"))
 
 
-def redact_user(text: Column, user: str | None = None, home: str | None = None) -> Column:
-    """Mask the home folder, any user folder and the user's own name."""
-    out = text
-    for form in sorted({home or "", (home or "").replace("\\", "/")}):
-        if len(form) > 3:
-            out = F.replace(out, F.lit(form), F.lit("<home>"))
-    out = F.regexp_replace(out, r"(?i)([\\/]Users[\\/])[^\\/\s\"']+", "$1<you>")
+def private_masks(user: str | None, home: str | None) -> list[tuple[str, str]]:
+    """(pattern, what is shown instead) for whatever names a person, in the order of use.
+
+    The folder that is somebody's home is known by its path, with either separator; any
+    other home by the folder of users it lies in; and the name may stand by itself. Names
+    and paths of a few letters would hide other words, so they are left.
+    """
+    quote = lambda part: r"\Q" + part + r"\E"
+    masks = []
+    if home and len(home) > 3:
+        masks.append((r"[\\/]".join(quote(part) if part else "" for part in re.split(r"[\\/]", home)), "<home>"))
+    masks.append((r"(?i)(?<=[\\/]users[\\/])[^\s\\/\"']+", "<you>"))
     if user and len(user) > 2:
-        quoted = "".join(c if c.isalnum() else "\\" + c for c in user)
-        out = F.regexp_replace(out, "(?i)" + quoted, "<you>")
-    return out
+        masks.append(("(?i)" + quote(user), "<you>"))
+    return masks
+
+
+def redact_user(text: Column, user: str | None = None, home: str | None = None) -> Column:
+    """Text without the names of persons: see `private_masks`."""
+    return reduce(lambda masked, mask: F.regexp_replace(masked, *mask), private_masks(user, home), text)
 
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+# Said on every page of the source, whatever it answers.
+CREDITED = "openstreetmap.org"
+
+
 def error_text(body: Column, limit: int = 400) -> Column:
-    """The readable complaint inside an HTML error page."""
-    paragraphs = F.regexp_extract_all(body, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
-    texts = F.transform(paragraphs, lambda p: squeeze(F.regexp_replace(p, r"(?s)<[^>]+>", " ")))
-    texts = F.filter(texts, lambda p: (p != "") & ~F.lower(p).contains("openstreetmap.org"))
-    errors = F.filter(texts, lambda p: F.lower(p).contains("error"))
-    said = F.substring(F.array_join(F.when(F.size(errors) > 0, errors).otherwise(texts), " | "), 1, limit)
-    plain = F.substring(squeeze(body), 1, limit)
-    page = F.lower(F.substring(body, 1, 400)).contains("<html")
-    return F.when(page & (said != ""), said).otherwise(plain)
+    """What a web page says went wrong: its paragraphs about an error, else all of them; other bodies as they are.
+
+    A page is told by its first characters. What follows an opening paragraph mark, up to
+    the next closing one, is text with marks in it; the marks count as blanks.
+    """
+    opened = F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    said = F.transform(opened, lambda p: squeeze(F.regexp_replace(p, "<[^>]+>", " ")))
+    said = F.filter(said, lambda p: (F.length(p) > 0) & ~F.contains(F.lower(p), F.lit(CREDITED)))
+    wrong = F.filter(said, lambda p: F.contains(F.lower(p), F.lit("error")))
+    told = F.left(F.array_join(F.when(F.size(wrong) > 0, wrong).otherwise(said), " | "), F.lit(limit))
+    is_page = F.contains(F.lower(F.left(body, F.lit(400))), F.lit("<html"))
+    return F.when(is_page & (told != ""), told).otherwise(F.left(squeeze(body), F.lit(limit)))
 
 
 def name_override(name: Column, way_name: Column, renamed: Column, hidden: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as V
@@ -73,7 +76,6 @@ def priority_pick(rows: DataFrame) -> DataFrame:
     stats = rows.agg(F.avg(cx).alias("mx"), F.avg(cy).alias("my"), F.count_if(home).alias("homes"))
     counts = rows.where(home).groupBy(area.alias("a")).agg(F.count("*").alias("n"))
     # Houses by size: how many are strictly larger, from one row per distinct size.
-    from pyspark.sql import Window as W
 
     above = F.coalesce(F.sum("n").over(W.orderBy(c("a").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = counts.withColumn("above", above).crossJoin(F.broadcast(stats)).withColumn("quota", F.greatest(F.lit(8), F.floor(c("homes") * 0.25).cast("int")))
@@ -93,3 +95,20 @@ def priority_pick(rows: DataFrame) -> DataFrame:
     every = tier(c("kind") == "military", 4, "military").union(tier(c("kind") == "police", 3, "police")) \
         .union(tier(c("gunshop"), 2, "gunshop")).union(house).union(tier(F.lit(True), 0, "any"))
     return every.groupBy().agg(F.max_by(F.struct("file", "kind", "found_as"), "k").alias("m")).select("m.*").where("file IS NOT NULL")
+
+
+def first_uses(rows: DataFrame, key: str, use: str = "use", order: str = "ord", limit: int = 8) -> DataFrame:
+    """(key, uses): the first distinct uses of each key in order, at most `limit`.
+
+    Each use counts where it comes first. Equal places go by the use's name.
+    """
+    once = rows.where(c(use).isNotNull()).groupBy(key, use).agg(F.min(order).alias("_o"))
+    along = W.partitionBy(key).orderBy("_o", use)
+    kept = once.withColumn("_i", F.row_number().over(along)).where(c("_i") <= limit)
+    return kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", use))), lambda u: u[use]).alias("uses"))
+
+
+def capped(rows: DataFrame, caps: dict[str, int], kind: str = "kind", order: str = "ord") -> DataFrame:
+    """The first rows of each kind by `order`, as many as its cap allows; kinds without a cap stay whole."""
+    rest = rows.where(~c(kind).isin(list(caps)))
+    return reduce(DataFrame.unionByName, [rows.where(c(kind) == k).orderBy(order).limit(n) for k, n in caps.items()], rest)

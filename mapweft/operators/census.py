@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.tags import isin, spatial_hash
 from ..functions.text import lookup
+from ..session import store
 
 
 def c(name: str) -> Column:
@@ -50,7 +51,9 @@ def blur_5tap(grid: DataFrame, value: str, width: int | None = None, height: int
         inside = (c(axis) >= 0) & ((c(axis) < size) if size else F.lit(True))
         return moved.where(inside).groupBy("cx", "cy").agg(F.sum(value).alias(value))
 
-    out = spread(spread(grid, "cx", width), "cy", height)
+    # Both are read twice: for the totals and for the values.
+    grid = store(grid)
+    out = store(spread(spread(grid, "cx", width), "cy", height))
     before = grid.agg(F.sum(value).alias("_was"))
     after = out.agg(F.sum(value).alias("_now"))
     # Both totals are single rows.
@@ -59,15 +62,18 @@ def blur_5tap(grid: DataFrame, value: str, width: int | None = None, height: int
 
 
 def ground_share_per_chunk(ground: DataFrame, chunk: int = V.CHUNK) -> DataFrame:
-    """(cx, cy, paved, water) shares. `ground` has one row per mapped tile: tx, ty, value."""
+    """(cx, cy, paved, water) shares. `ground` is runs (ty, x0, x1, value) that do not overlap, cut by arithmetic."""
     area = float(chunk * chunk)
-    return ground.groupBy(F.floor(c("tx") / chunk).alias("cx"), F.floor(c("ty") / chunk).alias("cy")).agg(
-        (F.count_if(c("value").isin(V.STREET_CLASSES)) / area).alias("paved"),
-        (F.count_if(c("value") == V.GROUND_WATER) / area).alias("water"))
+    parts = ground.withColumn("cx", F.explode(F.sequence(F.floor(c("x0") / chunk), F.floor((c("x1") - 1) / chunk))))
+    wide = F.least(c("x1"), (c("cx") + 1) * chunk) - F.greatest(c("x0"), c("cx") * chunk)
+    share = lambda hit: (F.coalesce(F.sum(F.when(hit, wide)), F.lit(0)) / area)
+    return parts.groupBy("cx", F.floor(c("ty") / chunk).alias("cy")).agg(
+        share(c("value").isin(V.STREET_CLASSES)).alias("paved"), share(c("value") == V.GROUND_WATER).alias("water"))
 
 
 def spawn_value(people: DataFrame, ground: DataFrame, per_resident: float = 1.0, cap: int = 10) -> DataFrame:
     """(cx, cy, density, value): blurred people plus street people, rounded by a keyed draw and capped."""
+    people = store(people)
     soft = blur_5tap(people, "people").withColumnRenamed("people", "soft")
     both = people.join(soft, ["cx", "cy"], "full").join(ground, ["cx", "cy"], "full")
     zero = F.lit(0.0)
@@ -92,16 +98,18 @@ def census_summary(spawn: DataFrame, totals: DataFrame, cap: int = 10) -> DataFr
 def density_grid(buildings: DataFrame, cell: int = 40) -> DataFrame:
     """(gx, gy, coverage): built share of a cell and its neighbours, 0..1.
 
-    The map has no right or lower edge here; windows at the upper left span fewer cells.
+    The map ends where its last cell with a building lies; at its edges a cell has fewer neighbours.
     """
-    cells = buildings.groupBy(F.floor((c("x0") + c("w") / 2) / cell).alias("gx"), F.floor((c("y0") + c("h") / 2) / cell).alias("gy")) \
-        .agg(F.sum(c("w") * c("h")).alias("built"))
+    cells = store(buildings.groupBy(F.floor((c("x0") + c("w") / 2) / cell).alias("gx"), F.floor((c("y0") + c("h") / 2) / cell).alias("gy"))
+                  .agg(F.sum(c("w") * c("h")).alias("built")))
+    ends = cells.agg(F.max("gx").alias("_ex"), F.max("gy").alias("_ey"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = cells.select(F.explode(steps).alias("s"), "gx", "gy", "built") \
-        .select((c("gx") + c("s.i")).alias("gx"), (c("gy") + c("s.j")).alias("gy"), "built").where("gx >= 0 AND gy >= 0")
-    ground = F.when(c("gx") == 0, 2).otherwise(3) * F.when(c("gy") == 0, 2).otherwise(3)
-    return spread.groupBy("gx", "gy").agg(F.sum("built").alias("built")) \
-        .select("gx", "gy", F.least(F.lit(1.0), c("built") / (ground * cell * cell)).alias("coverage"))
+        .select((c("gx") + c("s.i")).alias("gx"), (c("gy") + c("s.j")).alias("gy"), "built")
+    sums = spread.groupBy("gx", "gy").agg(F.sum("built").alias("built")).crossJoin(F.broadcast(ends)) \
+        .where((c("gx") >= 0) & (c("gy") >= 0) & (c("gx") <= c("_ex")) & (c("gy") <= c("_ey")))
+    wide = lambda g, end: 1 + (c(g) > 0).cast("int") + (c(g) < c(end)).cast("int")
+    return sums.select("gx", "gy", F.least(F.lit(1.0), c("built") / (wide("gx", "_ex") * wide("gy", "_ey") * cell * cell)).alias("coverage"))
 
 
 def town_zones(placements: DataFrame, cell: int = V.CELL, margin: int = 8, least: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.tags import case, isin, spatial_hash
 from ..functions.text import lookup
+from ..session import store
 from . import tiles as R
 from .graph import connected_components
 
@@ -80,7 +81,7 @@ def label_runs(runs: DataFrame, block: int = 64) -> DataFrame:
     Runs are the nodes, so a plain of a million tiles is a few rows; touching
     runs of neighbouring rows meet through x blocks.
     """
-    named = runs.select("ty", "x0", "x1", (c("ty") * F.lit(1 << 32) + c("x0")).alias("rid"))
+    named = store(runs.select("ty", "x0", "x1", (c("ty") * F.lit(1 << 32) + c("x0")).alias("rid")))
     spread = named.withColumn("_b", F.explode(F.sequence(F.floor(c("x0") / block), F.floor((c("x1") - 1) / block))))
     below = spread.select((c("ty") - 1).alias("ty"), "_b", c("rid").alias("rid2"), c("x0").alias("bx0"), c("x1").alias("bx1"))
     pairs = spread.join(below, ["ty", "_b"]).where("x0 < bx1 AND bx0 < x1").select(c("rid").alias("src"), c("rid2").alias("dst"))

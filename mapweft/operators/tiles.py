@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as V
+from ..session import store
 from . import scan
 
 
@@ -121,14 +122,30 @@ def running_area_sum(tiles: DataFrame, value: str) -> DataFrame:
     return scan.prefix_sum(rows, ["tx"], "ty", c("_row"), "area_sum", block=4096).drop("_row")
 
 
+def dense(cells: DataFrame, x: str, y: str, fill: dict[str, object]) -> DataFrame:
+    """The whole rectangle of the cells, with `fill` for the columns of absent ones. Rows are dealt out before they are made."""
+    ext = cells.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")).where("_x0 IS NOT NULL")
+    rows = ext.select(F.explode(F.sequence("_y0", "_y1")).alias(y), "_x0", "_x1").repartition(y)
+    grid = rows.select(F.explode(F.sequence("_x0", "_x1")).alias(x), y)
+    return grid.join(cells, [x, y], "left").fillna(fill)
+
+
 def blur_box3(tiles: DataFrame, value: str, r: int) -> DataFrame:
-    """Three box blurs along each axis over a dense field; windows shrink at the edges."""
-    df = tiles
+    """Three box blurs along each axis over the tiles' whole rectangle; beyond its edges the edge's value goes on.
+
+    Absent tiles are 0.
+    """
+    df = dense(tiles.select("tx", "ty", value), "tx", "ty", {value: 0.0})
+    ext = store(df.agg(*[f(k).alias(f"_{f.__name__}_{k}") for k in ("tx", "ty") for f in (F.min, F.max)]))
+    df = df.crossJoin(F.broadcast(ext))  # one row
     for row, axis in (("ty", "tx"), ("tx", "ty")):
         for _ in range(3):
-            df = scan.near_window(df, [row], axis, r, {"_b": lambda w: F.avg(value).over(w.rangeBetween(-r, r))}) \
-                .drop(value).withColumnRenamed("_b", value)
-    return df
+            df = scan.near_window(df, [row], axis, r, {
+                "_s": lambda w: F.sum(value).over(w.rangeBetween(-r, r)), "_a": lambda w: F.first(value).over(w.rangeBetween(-r, r)),
+                "_z": lambda w: F.last(value).over(w.rangeBetween(-r, r))})
+            before, after = F.greatest(F.lit(0), c(f"_min_{axis}") - c(axis) + r), F.greatest(F.lit(0), c(axis) + r - c(f"_max_{axis}"))
+            df = df.withColumn(value, (c("_s") + before * c("_a") + after * c("_z")) / (2 * r + 1)).drop("_s", "_a", "_z")
+    return df.select("tx", "ty", value)
 
 
 # ------------------------------------------------------------------- rasters
@@ -153,9 +170,9 @@ def runs_to_tiles(runs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def retile(tiles: DataFrame, value: str, size: int = V.BIOME_CELL, default: int = 0) -> DataFrame:
-    """Regroup to cells of another size: (cx, cy, set, filled with the default)."""
+    """The whole grid in cells of another size: (cx, cy, set, filled with the default); cells without a set tile are all default."""
     out = tiles.groupBy(F.floor(c("tx") / size).alias("cx"), F.floor(c("ty") / size).alias("cy")).agg(
         F.count("*").alias("n_set"), F.sum(value).alias("total"))
-    return out.select("cx", "cy", "n_set", (F.lit(size * size) - c("n_set")).alias("n_default"),
-                      (c("total") + default * (size * size - c("n_set"))).alias("total"))
-
+    whole = dense(store(out), "cx", "cy", {"n_set": 0, "total": 0})
+    return whole.select("cx", "cy", "n_set", (F.lit(size * size) - c("n_set")).alias("n_default"),
+                        (c("total") + default * (size * size - c("n_set"))).alias("total"))

@@ -8,6 +8,7 @@ from ..functions import tables as V
 from ..operators import census as C
 from ..operators import joins as J
 from ..operators import layers as L
+from ..operators import painter as PT
 from . import sqltext as S
 from .q_joins import ROAD_TILES, SEGMENTS, TILES, lattice_segments, owned_tiles, road_tiles
 from .registry import query
@@ -51,6 +52,14 @@ def ground_tiles(spark, d):
     return L.painter_order(layers)
 
 
+def ground_runs(spark, d):
+    """The same as runs: eight tiles east of every road vertex, ponds of twelve by twelve."""
+    roads = view(spark, d, VX).select(c("y").alias("ty"), c("x").alias("x0")).distinct().select("ty", "x0", (c("x0") + 8).alias("x1"), F.lit(1).alias("layer"))
+    ponds = view(spark, d, VP).where("use_value = 'machinery'").select(F.explode(F.sequence(c("y"), c("y") + 11)).alias("ty"), c("x").alias("x0"), (c("x") + 12).alias("x1"), F.lit(0).alias("layer"))
+    swept = PT.layered(roads.unionByName(ponds))
+    return swept.select("ty", "x0", "x1", F.when(PT.has(c("layers"), 1), 2).otherwise(4).alias("value"))
+
+
 def chunks(spark, d):
     return C.people_per_chunk(people(spark, d), c("residents") + c("daytime"), c("tiles"))
 
@@ -67,7 +76,7 @@ def people_per_chunk(spark, d):
 
 @query("ground_share_per_chunk", f"WITH {ROAD_TILES}, {WATER}, {GROUND} SELECT cx, cy, paved, water FROM share", [VX, VP])
 def ground_share_per_chunk(spark, d):
-    return C.ground_share_per_chunk(ground_tiles(spark, d))
+    return C.ground_share_per_chunk(ground_runs(spark, d))
 
 
 @query("blur_5tap", f"WITH {PEOPLE}, {CHUNKS}, {BLUR} SELECT cx, cy, round(soft, 6) AS people FROM blur", [VB])
@@ -76,7 +85,7 @@ def blur_5tap(spark, d):
 
 
 def spawn(spark, d):
-    return C.spawn_value(chunks(spark, d), C.ground_share_per_chunk(ground_tiles(spark, d)))
+    return C.spawn_value(chunks(spark, d), C.ground_share_per_chunk(ground_runs(spark, d)))
 
 
 @query("spawn_value", f"WITH {PEOPLE}, {CHUNKS}, {BLUR}, {ROAD_TILES}, {WATER}, {GROUND}, {SPAWN} SELECT cx, cy, round(density, 6) AS density, value FROM spawn", [VB, VX, VP])
@@ -94,9 +103,9 @@ def census_summary(spark, d):
 
 
 @query("density_grid", """WITH cell AS (SELECT CAST(floor((x0 + w / 2.0) / 40) AS BIGINT) AS gx, CAST(floor((y0 + h / 2.0) / 40) AS BIGINT) AS gy, sum(w * h) AS built FROM v_building GROUP BY 1, 2),
- o AS (SELECT unnest([-1, 0, 1]) AS o)
-SELECT gx, gy, round(least(1.0, built / (CASE WHEN gx = 0 THEN 2 ELSE 3 END * CASE WHEN gy = 0 THEN 2 ELSE 3 END * 1600.0)), 9)::DOUBLE AS coverage
-FROM (SELECT gx + a.o AS gx, gy + b.o AS gy, sum(built)::DOUBLE AS built FROM cell, o a, o b GROUP BY 1, 2) q WHERE gx >= 0 AND gy >= 0""", [VB])
+ o AS (SELECT unnest([-1, 0, 1]) AS o), m AS (SELECT max(gx) AS ex, max(gy) AS ey FROM cell)
+SELECT gx, gy, round(least(1.0, built / ((1 + (gx > 0)::INT + (gx < ex)::INT) * (1 + (gy > 0)::INT + (gy < ey)::INT) * 1600.0)), 9)::DOUBLE AS coverage
+FROM (SELECT gx + a.o AS gx, gy + b.o AS gy, sum(built)::DOUBLE AS built FROM cell, o a, o b GROUP BY 1, 2) q, m WHERE gx BETWEEN 0 AND ex AND gy BETWEEN 0 AND ey""", [VB])
 def density_grid(spark, d):
     return C.density_grid(view(spark, d, VB)).select("gx", "gy", F.round("coverage", 9).alias("coverage"))
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import rules
 from . import sqltext as S
 from .registry import query
-from .views import tagged, view
+from .views import TAG_COLUMNS, tagged, view
 
 def T():
     return F.col("t")
@@ -40,18 +40,27 @@ SPECIAL_STYLES = {"church": ["church", "church_brick", "church_stucco"], "civic"
                   "school": ["school"], "shop": ["shop", "shop~panel"]}
 
 
+KIND_SQL = "CASE id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END"
+
+
+def KIND():
+    return F.when(F.col("id") % 3 == 0, F.lit("node")).when(F.col("id") % 3 == 1, F.lit("way")).otherwise(F.lit("relation"))
+
+
+_TAG_ROWS = " UNION ALL ".join(f"SELECT {KIND_SQL} AS kind, {S.lit('building:levels' if t == 'levels' else t)} AS key, \"{t}\" AS value FROM v_tagged WHERE \"{t}\" IS NOT NULL" for t in TAG_COLUMNS)
+
+
 @query("tag_rules", f"""
-SELECT kind, key, value FROM (VALUES {", ".join(f"({S.lit(k)}, {S.lit(key)}, {S.lit(v)})" for k, key, v in rules.rule_rows())})
- AS r(kind, key, value) JOIN (SELECT count(*) AS n FROM part) c ON c.n > 0""")
+WITH tag AS ({_TAG_ROWS}), r(kind, key, value, needs) AS (VALUES {", ".join(f"({S.lit(k)}, {S.lit(key)}, {S.lit(v)}, {S.lit(n)})" for k, key, v, n in rules.rule_rows())})
+SELECT r.kind, r.key, r.value, r.needs, count(t.key) AS n FROM r LEFT JOIN tag t ON t.kind = r.kind AND t.key = r.key AND (r.value IS NULL OR t.value = r.value) AND r.needs IS NULL GROUP BY 1, 2, 3, 4""", VT)
 def tag_rules(spark, d):
-    # The rule list joined to the data it applies to: a rule is reported while any feature exists.
-    some = view(spark, d, "v_tagged").groupBy().agg(F.count("*").alias("n")).where("n > 0").select()
-    return rules.rule_table(spark).crossJoin(F.broadcast(some))
+    """Every rule with the number of features it keeps; no feature here has a head count."""
+    return rules.rule_matches(tagged(spark, d).withColumn("kind", KIND()), rules.rule_table(spark))
 
 
 def _rule_hit_sql():
     parts = []
-    for kind, key, value in rules.rule_rows():
+    for kind, key, value, _ in rules.rule_rows():
         if key not in ("highway", "building", "natural", "landuse", "amenity", "shop", "leisure", "tourism", "aeroway",
                        "railway", "barrier", "waterway", "man_made", "historic", "military", "office", "healthcare"):
             continue
@@ -60,13 +69,6 @@ def _rule_hit_sql():
     return " OR ".join(f"coalesce({p}, FALSE)" for p in parts)
 
 
-KIND_SQL = "CASE id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END"
-
-
-def KIND():
-    return F.when(F.col("id") % 3 == 0, F.lit("node")).when(F.col("id") % 3 == 1, F.lit("way")).otherwise(F.lit("relation"))
-
-
 @query("tag_rule_filter", f"""
 SELECT id, kind FROM (SELECT *, {KIND_SQL} AS kind FROM v_tagged) q WHERE {_rule_hit_sql()}""", VT)
 def tag_rule_filter(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.text import lookup
 from ..operators import buildings as B
+from ..operators import chains as CH
 from ..operators import greedy
 from ..operators import network as N
 from ..operators import roads as R
@@ -319,17 +320,18 @@ def row_units(spark, d):
 
 # ------------------------------------------------------------------- rings, regions and shores
 def ring_members(spark, d):
-    """Each quad as two member lines of a relation, the second reversed."""
+    """Each quad as two member lines of a relation, the second reversed; of every fifth the second is missing."""
     q = quads(spark, d)
     p = c("pts")
     parts = F.array(F.struct(F.lit(0).alias("way_no"), F.array(p[0], p[1], p[2]).alias("pts")), F.struct(F.lit(1).alias("way_no"), F.array(p[0], p[3], p[2]).alias("pts")))
-    return q.select(c("fid").alias("rel_id"), F.lit("outer").alias("role"), F.explode(parts).alias("m")).select("rel_id", "role", "m.way_no", "m.pts")
+    return q.select(c("fid").alias("rel_id"), F.lit("outer").alias("role"), F.explode(parts).alias("m")).select("rel_id", "role", "m.way_no", "m.pts").where("way_no = 0 OR rel_id % 5 <> 0")
 
 
-@query("assemble_rings", "SELECT fid AS rel_id, 'outer' AS role, CAST(1 AS BIGINT) AS rings, TRUE AS closed, CAST(5 AS BIGINT) AS points FROM v_building", [VB])
+@query("assemble_rings", f"""SELECT fid AS rel_id, 'outer' AS role, CAST(0 AS INT) AS ring_no, fid % 5 <> 0 AS closed, seq::BIGINT AS seq, x::DOUBLE AS x, y::DOUBLE AS y
+FROM (SELECT fid, unnest([0, 1, 2, 3, 4]) AS seq, unnest([ax, bx, cx, dx, ax]) AS x, unnest([ay, bv, cy, dy, ay]) AS y FROM {_QUAD} q) p WHERE fid % 5 <> 0 OR seq < 3""", [VB])
 def assemble_rings(spark, d):
-    out = N.assemble_rings(ring_members(spark, d))
-    return out.groupBy("rel_id", "role").agg(F.count("*").alias("rings"), F.bool_and("closed").alias("closed"), F.sum(F.size("pts")).alias("points"))
+    """Points of the rings and open lines of relations, in order."""
+    return CH.assemble_rings(ring_members(spark, d))
 
 
 @query("assign_holes", f"""SELECT fid AS rel_id, CAST(0 AS INT) AS inner_no, CAST(CASE WHEN fid % 2 = 0 THEN 1 ELSE 0 END AS INT) AS outer_no FROM {_QUAD} q""", [VB])

@@ -111,7 +111,15 @@ def directional_nearest(spark, d):
     return R2.directional_nearest(every, c("f"), 40).where("ask").select("tx", "ty", "west", "east", "north", "south")
 
 
-@query("street_side")
+_LOOKS = ", ".join(f"({o}, '{side}', {i})" for o, side in enumerate("NSWE") for i in (1, 2, 3))
+
+
+@query("street_side", f"""WITH {ROAD_TILES}, ask AS (SELECT fid, o, side, CASE WHEN o < 2 THEN x0 + CAST(floor(w * i / 4.0) AS BIGINT) WHEN o = 2 THEN x0 ELSE x0 + w - 1 END AS tx,
+   CASE WHEN o = 0 THEN y0 WHEN o = 1 THEN y0 + h - 1 ELSE y0 + CAST(floor(h * i / 4.0) AS BIGINT) END AS ty FROM v_building CROSS JOIN (VALUES {_LOOKS}) AS l(o, side, i)),
+ seen AS (SELECT fid, o, side, CASE WHEN o < 2 THEN abs(r.ty - a.ty) ELSE abs(r.tx - a.tx) END AS d FROM ask a JOIN road_tile r
+   ON (o < 2 AND r.tx = a.tx AND CASE o WHEN 0 THEN a.ty - r.ty ELSE r.ty - a.ty END BETWEEN 0 AND 40) UNION ALL
+  SELECT fid, o, side, abs(r.tx - a.tx) FROM ask a JOIN road_tile r ON (o >= 2 AND r.ty = a.ty AND CASE o WHEN 2 THEN a.tx - r.tx ELSE r.tx - a.tx END BETWEEN 0 AND 40))
+SELECT fid, arg_min(side, (d, o)) AS side, min(d) AS tiles FROM v_building LEFT JOIN seen USING (fid) GROUP BY fid""", [VB, VX])
 def street_side(spark, d):
     """The side of each building with the nearest paved tile within 40."""
     from ..operators import footprints as FP
@@ -124,7 +132,20 @@ def running_area_sum(spark, d):
     return R2.running_area_sum(on_tiles(spark, d).withColumn("v", F.lit(1)), "v").select("tx", "ty", "area_sum")
 
 
-@query("blur_box3")
+def _blurred(n: int) -> str:
+    """CTEs of n blurs along x, then n along y, of the dense field b0."""
+    out = []
+    for i in range(2 * n):
+        axis, row = ("tx", "ty") if i < n else ("ty", "tx")
+        low, high = ("x0", "x1") if i < n else ("y0", "y1")
+        out.append(f"b{i + 1} AS (SELECT g.tx, g.ty, avg(p.v) AS v FROM b0 g CROSS JOIN o CROSS JOIN e JOIN b{i} p ON p.{row} = g.{row} AND p.{axis} = greatest({low}, least({high}, g.{axis} + o.o)) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query("blur_box3", f"""WITH cell AS (SELECT CAST(floor(x0 / 20.0) AS BIGINT) AS tx, CAST(floor(y0 / 20.0) AS BIGINT) AS ty, sum(w * h)::DOUBLE AS v FROM v_building GROUP BY 1, 2),
+ e AS (SELECT min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1 FROM cell), o AS (SELECT unnest(range(-4, 5)) AS o),
+ b0 AS (SELECT tx, ty, coalesce(v, 0.0) AS v FROM (SELECT tx, unnest(range(y0, y1 + 1)) AS ty FROM (SELECT unnest(range(x0, x1 + 1)) AS tx, y0, y1 FROM e) q) r LEFT JOIN cell USING (tx, ty)), {_blurred(3)}
+SELECT tx, ty, round(v, 6) AS v FROM b6""", [VB])
 def blur_box3(spark, d):
     """Three box blurs of the built share on 20-tile cells."""
     cells = view(spark, d, VB).groupBy(F.floor(c("x0") / 20).alias("tx"), F.floor(c("y0") / 20).alias("ty")).agg(F.sum(c("w") * c("h")).cast("double").alias("v"))
@@ -215,16 +236,26 @@ def priority_pick(spark, d):
     return B.priority_pick(rows)
 
 
-@query("distinct_uses_limit", """SELECT c_nationkey, list_aggregate(list_sort(list_distinct(list(c_mktsegment)))[1:3], 'string_agg', '|') AS uses FROM customer GROUP BY 1""")
+@query("distinct_uses_limit", """SELECT c_nationkey, list_aggregate(list(use ORDER BY ord, use)[1:8], 'string_agg', '|') AS uses
+FROM (SELECT c_nationkey, c_mktsegment || ' ' || c_custkey % 7 AS use, min(c_custkey) AS ord FROM customer GROUP BY 1, 2) q GROUP BY 1""")
 def distinct_uses_limit(spark, d):
-    """The first three distinct uses of each group, from one row per distinct use."""
-    uses = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    return uses.groupBy("c_nationkey").agg(F.array_join(F.slice(F.sort_array(F.collect_list("c_mktsegment")), 1, 3), "|").alias("uses"))
+    """The first eight uses of each group in the order they were mapped, each once."""
+    rows = table(spark, d, "customer").select("c_nationkey", F.concat_ws(" ", "c_mktsegment", c("c_custkey") % 7).alias("use"), c("c_custkey").alias("ord"))
+    return B.first_uses(rows, "c_nationkey", limit=V.USES_LIMIT).select("c_nationkey", F.array_join("uses", "|").alias("uses"))
 
 
-@query("limits", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 600")
+@query("limits", """(SELECT 'address_house' AS kind, pid AS id FROM v_point ORDER BY pid LIMIT 40000)
+UNION ALL (SELECT 'street_house', way_id * 100 + pos FROM v_vertex ORDER BY 2 LIMIT 100000)
+UNION ALL (SELECT 'grave', ty * 1000000 + tx FROM (SELECT DISTINCT tx, ty FROM (SELECT unnest(range(x0, x0 + side, 3)) AS tx, y0, side FROM v_area WHERE category = 'cemetery') a, LATERAL (SELECT unnest(range(y0, y0 + side, 2)) AS ty) b) g ORDER BY 2 LIMIT 40000)
+UNION ALL (SELECT 'dump', node_id FROM v_control WHERE highway = 'give_way' ORDER BY node_id LIMIT 600)""", [VP, VX, VA, VC])
 def limits(spark, d):
-    return table(spark, d, "orders").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(600).select("o_orderkey")
+    """Candidates of four kinds, as many as one map may hold of each."""
+    graves = view(spark, d, VA).where("category = 'cemetery'").select("x0", "y0", "side", F.explode(F.sequence(c("x0"), c("x0") + c("side") - 1, F.lit(3).cast("bigint"))).alias("tx")) \
+        .select("tx", F.explode(F.sequence(c("y0"), c("y0") + c("side") - 1, F.lit(2).cast("bigint"))).alias("ty")).distinct()
+    parts = {"address_house": (view(spark, d, VP), c("pid")), "street_house": (view(spark, d, VX), c("way_id") * 100 + c("pos")),
+             "grave": (graves, c("ty") * 1000000 + c("tx")), "dump": (view(spark, d, VC).where("highway = 'give_way'"), c("node_id"))}
+    rows = [df.select(F.lit(k).alias("kind"), i.alias("id")) for k, (df, i) in parts.items()]
+    return B.capped(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), V.CAPS, order="id")
 
 
 # ------------------------------------------------------------------- sets

@@ -203,7 +203,8 @@ def store_footprints(spark, d):
 @query("trailing_rate_stream", """SELECT strftime(to_timestamp(s)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
 FROM (SELECT event_type, value, unnest([h - 3 * 3600, h - 2 * 3600, h - 3600, h]) AS s FROM (SELECT *, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS h FROM events) e) q GROUP BY 1, 2""".replace("to_timestamp(s)::TIMESTAMP", "make_timestamp(s * 1000000)"))
 def trailing_rate_stream(spark, d):
-    out = ST.trailing_rate(table(spark, d, "events"))
+    """The stream itself, read to its end."""
+    out = ST.run_to_end(ST.trailing_rate(ST.read_table_stream(spark, d, "events")))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

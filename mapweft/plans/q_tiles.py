@@ -196,7 +196,9 @@ def parking_zones(spark, d):
     return GR.parking_zones(drives, off(stalls, view(spark, d, VB)), off(kerbs, forecourts))
 
 
-@query("retile", f"""WITH {ROAD_TILES}, {WATER}, {GROUND} SELECT tx // 256 AS cx, ty // 256 AS cy, count(*) AS n_set, 65536 - count(*) AS n_default, CAST(sum(value) AS BIGINT) AS total FROM ground GROUP BY 1, 2""", [VX, VP])
+@query("retile", f"""WITH {ROAD_TILES}, {WATER}, {GROUND}, cell AS (SELECT tx // 256 AS cx, ty // 256 AS cy, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM ground GROUP BY 1, 2),
+ grid AS (SELECT cx, unnest(range(b, t + 1)) AS cy FROM (SELECT unnest(range(l, r + 1)) AS cx, b, t FROM (SELECT min(cx) AS l, max(cx) AS r, min(cy) AS b, max(cy) AS t FROM cell) e) q)
+SELECT cx, cy, coalesce(n, 0) AS n_set, 65536 - coalesce(n, 0) AS n_default, coalesce(total, 0) AS total FROM grid LEFT JOIN cell USING (cx, cy)""", [VX, VP])
 def retile(spark, d):
     return R.retile(ground_tiles(spark, d), "value").select("cx", "cy", "n_set", "n_default", "total")
 

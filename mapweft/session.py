@@ -60,6 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, which every machine can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` as a table beside the checkpoints and return it as read back.
 
@@ -68,8 +74,7 @@ def store(df: DataFrame) -> DataFrame:
     have the size they have, so small tables are also seen to be small.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

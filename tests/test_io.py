@@ -4,6 +4,7 @@ import json
 import os
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from mapweft.operators import edits
@@ -65,12 +66,56 @@ def test_fold_stream_equals_batch(spark, tmp_path):
     patches = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = streams.fold_edits_stream(patches, ["id", "field"], str(tmp_path / "state"), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    last = max(int(p[1:]) for p in os.listdir(tmp_path / "state"))
-    state = spark.read.parquet(str(tmp_path / "state" / f"v{last}")).where("value IS NOT NULL")
+    state = streams.folded_edits(spark, str(tmp_path / "state"), ["id", "field"], df)
     want = edits.fold_edits(df, ["id", "field"])
     assert sorted(state.select("id", "field", "value").collect()) == sorted(want.select("id", "field", "value").collect())
 
 
+def test_keyed_state_after_a_failure(spark, tmp_path):
+    """A batch that wrote files but no manifest is done again; untouched buckets keep their version; old versions go."""
+    keys, path = ["id"], str(tmp_path / "state")
+    state = streams.KeyedState(spark, path, keys, buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, value long, seq long")
+    fold = lambda old, new: edits.merge_fold(old, new, keys)
+    now = lambda: {r.id: r.value for r in state.read(frame([])).collect()}
+    state.apply(frame([(i, i, i) for i in range(20)]), 0, fold)
+    first = state.manifest(0)
+    assert now() == {i: i for i in range(20)} and set(first.values()) == {0}
+
+    def broken(old, new):
+        fold(old, new).withColumn("bucket", state._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/1")
+        raise RuntimeError("killed")
+
+    late = frame([(3, 33, 50), (3, 30, 40), (5, None, 60), (7, 70, 1)])
+    with pytest.raises(RuntimeError):
+        state.apply(late, 1, broken)
+    assert state.last() == 0 and now() == {i: i for i in range(20)}
+    state.apply(late, 1, fold)
+    want = {i: i for i in range(20)} | {3: 33, 5: None}
+    assert now() == want and state.last() == 1 and 1 in state.manifest(1).values() and 0 in state.manifest(1).values()
+    state.apply(late, 1, fold)  # replayed whole
+    assert now() == want
+    for n in (2, 3, 4):
+        state.apply(frame([(i, 100 * n, 100 * n) for i in range(20)]), n, fold)
+    assert now() == {i: 400 for i in range(20)} and sorted(os.listdir(f"{path}/state")) == ["3", "4"] and sorted(os.listdir(f"{path}/manifest")) == ["3", "4"]
+
+
+def test_late_extracts_do_not_replace_newer_ones(spark, tmp_path):
+    src, out, schema = str(tmp_path / "src"), str(tmp_path / "out"), "region string, day string, fid long"
+    for rows in ([("a", "2024-01-05", 1), ("b", "2024-01-01", 2)], [("a", "2024-01-03", 8), ("b", "2024-01-02", 3), ("c", "2024-01-01", 4)], [("a", "2024-01-05", 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        streams.refresh_extract_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted((r.region, r.fid) for r in spark.read.parquet(out).collect()) == [("a", 5), ("b", 3), ("c", 4)]
+
+
+def test_stream_to_its_end_equals_batch(spark):
+    sf = "/root/testdata/sf0.001"
+    live = streams.run_to_end(streams.trailing_rate(streams.read_table_stream(spark, sf, "events")))
+    want = streams.trailing_rate(spark.read.parquet(f"{sf}/events.parquet"))
+    rows = lambda df: sorted((str(r.start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
+    assert rows(live) == rows(want)
+
+
 def test_rate_stream_equals_batch(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     src = str(tmp_path / "ev")

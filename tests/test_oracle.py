@@ -12,7 +12,10 @@ KEYS = ["classify_category", "building_kind", "use_of_tags", "biome_of_feature",
         "points_in_footprint", "area_of_point", "only_missing", "gap_semi", "neighbour_levels", "lot_overlaps", "people_per_chunk",
         "census_summary", "density_grid", "build_report", "vertex_degree", "next_prev_cut", "control_to_junction", "tile_runs",
         "erode_mask", "rasterize_polygon", "kerb_candidates", "fold_edits", "stale_stages", "capped_layers", "fit_pieces",
-        "scan_geojsonseq", "sink_feature_grid", "junction_kind", "row_units"]
+        "scan_geojsonseq", "sink_feature_grid", "junction_kind", "row_units", "zone_override", "seed_nudge", "within_distance_anti",
+        "first_by_area", "fill_from", "shape_filter", "rasterize_line", "ground_cover", "biome_cover", "woodland_grade", "clip_cover_to_shape",
+        "parking_zones", "junction_clusters", "junction_controls", "dismiss_under_bridges", "crossing_between_junctions", "assemble_rings",
+        "tag_rules", "limits", "distinct_uses_limit", "trailing_rate_stream", "redact_user", "error_text"]
 
 
 @pytest.fixture(scope="module")

@@ -205,13 +205,6 @@ def test_region_cover_descends(spark):
     assert ids(network.region_cover(df, (1.0, 3.0, 4.0, 7.0))) == ["a", "b"]
 
 
-def test_lines_grow_at_both_ends():
-    rings, loose = network._chain_lines([[(1, 0), (2, 0)], [(0, 0), (1, 0)], [(2, 0), (3, 0)]])
-    assert not rings and loose == [[(0, 0), (1, 0), (2, 0), (3, 0)]]
-    rings, loose = network._chain_lines([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)]])
-    assert rings == [[(0, 0), (1, 0), (1, 1), (0, 0)]] and not loose
-
-
 def test_wide_seeds_meet_beyond_the_default_reach(spark):
     rows = [(1, 0.0, 0.0, 20.0, 3), (2, 30.0, 0.0, 20.0, 3), (3, 100.0, 0.0, 3.0, 3)]
     got = dict(network.junction_clusters(spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")).collect())
