@@ -108,3 +108,25 @@ def ring_arrays(points: DataFrame) -> DataFrame:
     """(rel_id, role, ring_no, closed, pts): each ring's points as one array, where a ring is known to fit a row."""
     ordered = F.sort_array(F.collect_list(F.struct("seq", "x", "y")))
     return points.groupBy("rel_id", "role", "ring_no", "closed").agg(F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
+
+
+def street_table(segs: DataFrame, least: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Streets by name: (stretches, their segments in order).
+
+    `segs` has name, akey, bkey, len, width. A segment that several roads of one name have
+    is one. Segments merge where exactly two of a name meet, so a stretch runs from
+    crossing to crossing. Stretches: name, stretch (its smallest segment), width (at least
+    3, that of the street's widest part), length, segments, closed; those shorter than
+    `least` are dropped. Segments: name, stretch, line, forward, at (segments before).
+    """
+    low, high = F.least("akey", "bkey"), F.greatest("akey", "bkey")
+    once = segs.where("name IS NOT NULL AND akey <> bkey").groupBy("name", low.alias("a"), high.alias("b")).agg(F.min("len").alias("len"), F.max("width").alias("width"))
+    named = store(once.withColumn("line", F.struct("name", "a", "b")))
+    end = lambda k: F.struct("name", c(k).alias("k"))
+    placed = store(chained(named.select("line", end("a").alias("a"), end("b").alias("b"), F.lit(1).alias("w")), strict=True))
+    wide = named.groupBy("name").agg(F.greatest(F.lit(3.0), F.round(F.max("width"))).alias("width"))
+    stretches = placed.join(named.select("line", "len"), "line").groupBy("chain").agg(
+        F.sum("len").alias("length"), F.count(F.lit(1)).alias("segments"), F.first("closed").alias("closed")).where(c("length") >= least)
+    stretches = stretches.select(c("chain.name").alias("name"), c("chain").alias("stretch"), "length", "segments", "closed").join(wide, "name")
+    kept = placed.withColumnRenamed("chain", "stretch").join(stretches.select("stretch"), "stretch", "left_semi")
+    return stretches, kept.select(c("stretch.name").alias("name"), "stretch", "line", "forward", "at")

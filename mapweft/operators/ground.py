@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as V
-from ..functions.tags import case, isin, spatial_hash
-from ..functions.text import lookup
+from ..functions.tags import case, spatial_hash
 from ..session import store
 from . import tiles as R
 from .graph import connected_components

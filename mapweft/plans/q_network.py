@@ -401,9 +401,19 @@ def cell_point_budget(spark, d):
     return N.cell_point_budget(b)
 
 
-@query("street_table")
+@query("street_table", f"""WITH RECURSIVE {SEGMENTS},
+ part AS (SELECT 'Street ' || v.street_no AS name, least(akey, bkey) AS a, greatest(akey, bkey) AS b, min(sqrt((bx - ax) * (bx - ax) + (bv - ay) * (bv - ay))) AS len, max({S.case_of('seg.category', V.ROAD_WIDTH_M)}) AS width
+  FROM seg JOIN v_vertex v ON v.way_id = seg.way_id AND v.pos = seg.pos WHERE akey <> bkey GROUP BY 1, 2, 3),
+ line AS (SELECT *, row_number() OVER (ORDER BY name, a, b) AS id FROM part),
+ tip AS (SELECT name, k, min(id) AS x, max(id) AS y FROM (SELECT name, a AS k, id FROM line UNION ALL SELECT name, b, id FROM line) q GROUP BY 1, 2 HAVING count(*) = 2),
+ link AS (SELECT x, y FROM tip WHERE x <> y UNION SELECT y, x FROM tip WHERE x <> y),
+ reach AS (SELECT id, id AS o FROM line UNION SELECT r.id, l.y FROM reach r JOIN link l ON l.x = r.o),
+ chain AS (SELECT id, min(o) AS first FROM reach GROUP BY id)
+SELECT l.name, f.a || '-' || f.b AS stretch, max(w.width) AS width, round(sum(l.len), 4) AS length, count(*) AS segments
+FROM line l JOIN chain USING (id) JOIN line f ON f.id = first JOIN (SELECT name, greatest(3.0, round(max(width)))::DOUBLE AS width FROM line GROUP BY name) w ON w.name = l.name GROUP BY 1, 2 HAVING sum(l.len) >= 10""", [VX])
 def street_table(spark, d):
+    """Streets of every name, merged from crossing to crossing."""
     s = R.road_graph(view(spark, d, VX)).join(view(spark, d, VX).select("way_id", "pos", "street_no"), ["way_id", "pos"])
-    segs = s.select(F.concat(F.lit("Street "), c("street_no").cast("string")).alias("name"), (c("way_id") * 100 + c("pos")).alias("sid"), "akey", "bkey", "len", lookup(c("category"), V.ROAD_WIDTH_M).alias("width"))
-    return N.street_table(segs).select("name", "stretch", "width", F.round("length", 4).alias("length"))
+    segs = s.select(F.concat(F.lit("Street "), c("street_no").cast("string")).alias("name"), "akey", "bkey", "len", lookup(c("category"), V.ROAD_WIDTH_M).alias("width"))
+    return CH.street_table(segs)[0].select("name", F.concat_ws("-", "stretch.a", "stretch.b").alias("stretch"), "width", F.round("length", 4).alias("length"), "segments")
 

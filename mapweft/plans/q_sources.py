@@ -78,10 +78,9 @@ def scan_buildings_bbox(spark, d):
 
 @query("prune_files_by_extent", """SELECT aid, name FROM v_area WHERE x0 <= 900 AND x0 + side >= 300 AND y0 <= 800 AND y0 + side >= 200""", [VA])
 def prune_files_by_extent(spark, d):
-    """The catalogue filter itself; the reader opens the paths that remain."""
+    """The files whose extent meets a box; a reader is given their paths."""
     cat = view(spark, d, VA).select("aid", "name", c("x0").alias("xmin"), c("y0").alias("ymin"), (c("x0") + c("side")).alias("xmax"), (c("y0") + c("side")).alias("ymax"))
-    hit = (c("xmin") <= 900) & (c("xmax") >= 300) & (c("ymin") <= 800) & (c("ymax") >= 200)
-    return cat.where(hit).select("aid", "name")
+    return RD.files_in_extent(cat, (300, 200, 900, 800)).select("aid", "name")
 
 
 @query("scan_extract_index", """SELECT 'r' || CAST(aid AS VARCHAR) AS id, CAST(x0 AS DOUBLE) AS w, CAST(x0 + side AS DOUBLE) AS e FROM v_area WHERE aid % 6 <> 0""", [VA])

@@ -60,7 +60,8 @@ def parse_geojsonseq(lines: DataFrame) -> DataFrame:
     raw_id = F.coalesce(c("f.properties")["@id"], c("f.id"))
     number = F.regexp_extract(raw_id, r"(\d+)$", 1).try_cast("bigint")
     kind = F.lower(F.regexp_extract(raw_id, r"^(node|way|relation)", 1))
-    own = F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) * -1 - 1
+    # 62 bits of the text, below every number that is given out otherwise.
+    own = -F.pmod(F.xxhash64("_text"), F.lit(1 << 62)) - F.lit(1 << 61)
     tags = F.map_filter(c("f.properties"), lambda k, _v: ~k.startswith("@"))
     g, coords = c("f.geometry.type"), c("f.geometry.coordinates")
 
@@ -118,11 +119,22 @@ def scan_buildings_bbox(footprints: DataFrame, boxes: DataFrame | list[tuple[flo
                        how="left_semi", key=["id"], levels=(1, 64))
 
 
-def prune_files_by_extent(catalogue: DataFrame, box: tuple[float, float, float, float]) -> list[str]:
-    """Paths of the files whose extent (xmin, ymin, xmax, ymax) meets a box. One row per file, so it fits the driver."""
+def files_in_extent(catalogue: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Catalogue rows whose extent (xmin, ymin, xmax, ymax) meets a box."""
     x0, y0, x1, y1 = box
-    hit = (c("xmin") <= x1) & (c("xmax") >= x0) & (c("ymin") <= y1) & (c("ymax") >= y0)
-    return [r.path for r in catalogue.where(hit).select("path").distinct().collect()]
+    return catalogue.where((c("xmin") <= x1) & (c("xmax") >= x0) & (c("ymin") <= y1) & (c("ymax") >= y0))
+
+
+def prune_files_by_extent(catalogue: DataFrame, box: tuple[float, float, float, float], most: int = 100_000) -> list[str]:
+    """Paths of the files that a box meets: what a reader is given to open.
+
+    Only paths come to the driver, which lists the files it reads in any case; a box that
+    meets more than `most` of them is an error, not a list.
+    """
+    paths = [r.path for r in files_in_extent(catalogue, box).select("path").distinct().limit(most + 1).collect()]
+    if len(paths) > most:
+        raise ValueError(f"more than {most} files meet the box: read it in parts")
+    return paths
 
 
 def parse_extract_index(index: DataFrame) -> DataFrame:

@@ -62,3 +62,12 @@ def test_strict_chains_end_at_crossings(spark):
     assert strict == {0: (0, True, 0, False), 1: (0, True, 10, False), 2: (2, True, 0, False), 3: (3, True, 0, False), 4: (3, True, 10, False), 6: (3, False, 20, False), 5: (5, True, 0, True)}
     loose = {r.line: r.chain for r in CH.chained(frame).collect()}
     assert loose[0] == loose[1] == loose[2] == 0 and loose[3] == loose[4] == loose[6] == 3
+
+
+def test_streets_run_from_crossing_to_crossing(spark):
+    """Shared segments count once, another name does not part a street, a side street does; short stretches go."""
+    rows = [("A", 1, 2, 6.0, 8.0), ("A", 2, 1, 6.0, 8.0), ("A", 2, 3, 6.0, 12.0), ("A", 3, 4, 9.0, 8.0), ("A", 3, 5, 11.0, 8.0), ("B", 2, 9, 20.0, 2.0), (None, 1, 5, 30.0, 8.0), ("B", 9, 9, 0.0, 2.0)]
+    stretches, parts = CH.street_table(spark.createDataFrame(rows, "name string, akey long, bkey long, len double, width double"))
+    got = sorted((r.name, r.stretch.a, r.stretch.b, r.width, r.length, r.segments) for r in stretches.collect())
+    assert got == [("A", 1, 2, 12.0, 12.0, 2), ("A", 3, 5, 12.0, 11.0, 1), ("B", 2, 9, 3.0, 20.0, 1)]
+    assert sorted((r.name, r.at, r.line.a, r.line.b, r.forward) for r in parts.collect()) == [("A", 0, 1, 2, True), ("A", 0, 3, 5, True), ("A", 1, 2, 3, True), ("B", 0, 2, 9, True)]
