@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1024  # mean length of a chunk
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
-WORD_BYTES = 48 << 20  # of words and their ids in one generation of the table, about 250 bytes in memory for 20 of these
-CHUNK_TABLE_BYTES = 24 << 20
-SEEN = 1 << 17  # hashes of chunks met once
+# Memory of one generation of each table; a process, which may serve other stages after this one, holds two of both.
+WORD_BYTES = 48 << 20
+CHUNK_TABLE_BYTES = 12 << 20
+ENTRY = 200  # bytes that an entry takes beside its own
+SEEN = 1 << 16  # hashes of chunks met once
 MARKS = b".,;:!?"
-PUT_OFF = 200_000  # words that wait to be looked up together
+PUT_OFF = 100_000  # words that wait to be looked up together
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 SPACES = tuple(bytes([b]) for b in (9, 10, 11, 12, 13, 32))
 
@@ -82,7 +84,7 @@ class Table:
         return value
 
     def keep(self, key: bytes, value) -> None:
-        self.size += len(key) + (len(value) if isinstance(value, bytes) else sum(map(len, value)))
+        self.size += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else sum(map(len, value)))
         self.young[key] = value
 
     def turn(self) -> None:

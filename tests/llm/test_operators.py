@@ -293,7 +293,7 @@ def test_chunks_and_tables_are_bounded():
         ends = bpe.chunk_ends(data)
         sizes = np.diff([0, *ends])
         assert ends[-1] == len(data) and sizes.max(initial=0) <= bpe.MOST_CHUNK and (sizes[:-1] >= bpe.LEAST_CHUNK).all()
-    table = bpe.Table(100)
+    table = bpe.Table(100 + 10 * bpe.ENTRY)
     for i in range(1000):
         table.keep(b"%d" % i, b"12345")
         table.turn()
@@ -302,7 +302,7 @@ def test_chunks_and_tables_are_bounded():
 
 
 def test_forgetful_tables_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr(bpe, "WORD_BYTES", 60)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 2000)
     monkeypatch.setattr(bpe, "CHUNK_TABLE_BYTES", 3000)
     encoder = bpe.Encoder(bpe.vocabulary_path())
     text = prose(random.Random(4), 3000)
