@@ -233,7 +233,11 @@ def bridge_crossings(spark, d):
     return out.select("sid", "l_sid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("half", 6).alias("half"))
 
 
-@query("bridge_chains")
+@query("bridge_chains", """WITH RECURSIVE tip AS (SELECT way_id, unnest([arg_min(vkey, pos), arg_max(vkey, pos)]) AS k FROM v_vertex WHERE category = 'road_major' GROUP BY way_id),
+ lab AS (SELECT DISTINCT 0 AS n, way_id AS id, way_id AS l FROM tip UNION ALL
+  (WITH cur AS (SELECT id, l FROM lab), low AS (SELECT t.k, min(c.l) AS m FROM tip t JOIN cur c ON c.id = t.way_id GROUP BY 1), nxt AS (SELECT t.way_id AS id, min(m) AS l FROM tip t JOIN low USING (k) GROUP BY 1)
+   SELECT (SELECT max(n) + 1 FROM lab), id, l FROM nxt WHERE EXISTS (SELECT 1 FROM nxt x JOIN cur y USING (id) WHERE x.l < y.l)))
+SELECT id AS way_id, l AS chain FROM lab WHERE n = (SELECT max(n) FROM lab)""", [VX])
 def bridge_chains(spark, d):
     """Chains of major roads that share end vertices."""
     v = view(spark, d, VX).where("category = 'road_major'")

@@ -12,7 +12,7 @@ from ..operators import tiles as R
 from . import sqltext as S
 from .q_census import GROUND, WATER, ground_tiles
 from .q_joins import ROAD_TILES, SEGMENTS, TILES, lattice_segments, road_tiles
-from .q_order import on_tiles
+from .q_order import ON_TILE, on_tiles
 from .q_scalar import _PIP, _QUAD, quads
 from ..functions.text import lookup
 from .registry import query
@@ -221,7 +221,12 @@ def spawn_by_ground(spark, d):
 
 
 # ------------------------------------------------------------------- connected ground
-@query("connected_tiles")
+@query("connected_tiles", f"""WITH RECURSIVE {ON_TILE}, run AS (SELECT ty, min(tx) AS x0, max(tx) + 1 AS x1, ty * 4294967296 + min(tx) AS rid FROM (SELECT tx, ty, tx - row_number() OVER (PARTITION BY ty ORDER BY tx) AS g FROM on_tile) q GROUP BY ty, g),
+ pair AS (SELECT a.rid AS a, b.rid AS b FROM run a JOIN run b ON b.ty = a.ty + 1 AND a.x0 < b.x1 AND b.x0 < a.x1), near AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+ lab AS (SELECT 0 AS n, rid AS id, rid AS l FROM run UNION ALL
+  (WITH cur AS (SELECT id, l FROM lab), nxt AS (SELECT c.id, least(c.l, coalesce(min(d.l), c.l)) AS l FROM cur c LEFT JOIN near ON near.a = c.id LEFT JOIN cur d ON d.id = near.b GROUP BY c.id, c.l)
+   SELECT (SELECT max(n) + 1 FROM lab), id, l FROM nxt WHERE EXISTS (SELECT 1 FROM nxt x JOIN cur y USING (id) WHERE x.l < y.l)))
+SELECT l AS piece, CAST(sum(x1 - x0) AS BIGINT) AS tiles, min(x0) AS x0, min(ty) AS y0, max(x1) AS x1, max(ty) + 1 AS y1 FROM lab JOIN run ON rid = id WHERE n = (SELECT max(n) FROM lab) GROUP BY l""", [VB])
 def connected_tiles(spark, d):
     """4-connected pieces of the built mask."""
     return GR.connected_tiles(on_tiles(spark, d))
