@@ -18,12 +18,12 @@ VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1024  # mean length of a chunk
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
 # Memory of one generation of each table; a process, which may serve other stages after this one, holds two of both.
-WORD_BYTES = 48 << 20
-CHUNK_TABLE_BYTES = 12 << 20
+WORD_BYTES = 20 << 20
+CHUNK_TABLE_BYTES = 4 << 20
 ENTRY = 200  # bytes that an entry takes beside its own
-SEEN = 1 << 16  # hashes of chunks met once
+SEEN = 1 << 15  # hashes of chunks met once
 MARKS = b".,;:!?"
-PUT_OFF = 100_000  # words that wait to be looked up together
+PUT_OFF = 50_000  # words that wait to be looked up together
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 SPACES = tuple(bytes([b]) for b in (9, 10, 11, 12, 13, 32))
 
@@ -258,8 +258,8 @@ def encode_documents(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         for batch in batches:
-            for at in range(0, len(batch), 512):  # words new to the table are learnt together
-                part = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), 256):  # words new to the table are learnt together
+                part = batch.iloc[at : at + 256]
                 rows = []
                 for doc_id, ids in zip(part["doc_id"], encoder.encode_many([(text or "").encode("utf-8") for text in part["text"]]), strict=True):
                     shown = encoder.decode(ids)
