@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as V
 from ..functions.tags import case, spatial_hash
 from ..session import store
+from . import painter as P
 from . import tiles as R
 from .graph import connected_components
 
@@ -38,10 +39,19 @@ def scatter_points(free: DataFrame, step: int = 11, clump: int = 70, density: fl
 
 
 def lattice_in_polygon(boxes: DataFrame, key: str, step_x: int, step_y: int, blocked: DataFrame) -> DataFrame:
-    """Lattice points of every rectangle (x0, y0, w, h), rows and columns from its corner, not on blocked tiles."""
-    rows = boxes.select(key, "x0", "w", F.explode(F.sequence(c("y0"), c("y0") + c("h") - 1, F.lit(step_y).cast("bigint"))).alias("ty"))
-    pts = rows.select(key, "ty", F.explode(F.sequence(c("x0"), c("x0") + c("w") - 1, F.lit(step_x).cast("bigint"))).alias("tx"))
-    return pts.join(blocked.select("tx", "ty"), ["tx", "ty"], "left_anti").select(key, "tx", "ty")
+    """Lattice points of every rectangle (x0, y0, w, h), rows and columns from its corner, not on blocked runs (ty, x0, x1).
+
+    A row of a rectangle meets what is blocked in blocks of the row, before it becomes points.
+    """
+    rows = boxes.select(key, "x0", (c("x0") + c("w")).alias("x1"), F.explode(F.sequence(c("y0"), c("y0") + c("h") - 1, F.lit(step_y).cast("bigint"))).alias("ty"))
+    cut = rows.withColumn("_b", F.explode(F.sequence(F.floor(c("x0") / P.NEAR), F.floor((c("x1") - 1) / P.NEAR))))
+    shut = P.pieces(blocked).groupBy("ty", "_b").agg(F.collect_list(F.struct("x0", "x1")).alias("_shut"))
+    met = cut.hint("merge").join(shut, ["ty", "_b"], "left")
+    low, high = F.greatest(c("x0"), c("_b") * P.NEAR), F.least(c("x1"), (c("_b") + 1) * P.NEAR) - 1
+    first = low + F.pmod(c("x0") - low, F.lit(step_x))
+    places = F.when(first <= high, F.sequence(first, high, F.lit(step_x).cast("bigint")))
+    free = F.filter(places, lambda x: ~F.coalesce(F.exists("_shut", lambda s: (s["x0"] <= x) & (x < s["x1"])), F.lit(False)))
+    return met.select(key, "ty", F.explode(free).alias("tx")).select(key, "tx", "ty")
 
 
 def parking_zones(drives: DataFrame, lots: DataFrame, kerbs: DataFrame, density: float = 1.0) -> DataFrame:
