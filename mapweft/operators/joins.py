@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as P
 from ..session import cut, small
+from . import painter
 from .bucket import boxes_overlap, bucket_join, explode_cells, point
 
 
@@ -170,24 +171,26 @@ def explode_tiles(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def party_walls(owned: DataFrame) -> DataFrame:
-    """Walls between tiles of different buildings: (fid, x, y, side, storeys of the taller neighbour).
+    """Walls between tiles of different buildings: (fid, x, y, side, storeys of the neighbour).
 
-    `owned` has one row per tile: tx, ty, fid, levels. An edge is named by the
-    tile south or east of it.
+    `owned` is stretches of rows with their fid and levels (`painter.claimed`). An edge is
+    named by the tile south or east of it, and is a wall of both buildings.
     """
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(ex).alias("ex"), F.lit(ey).alias("ey"), F.lit(s).alias("side"))
-                      for dx, dy, ex, ey, s in ((0, -1, 0, 0, "N"), (0, 1, 0, 1, "N"), (-1, 0, 0, 0, "W"), (1, 0, 1, 0, "W"))])
-    looks = owned.select("fid", "tx", "ty", F.explode(steps).alias("s")) \
-        .select("fid", (c("tx") + c("s.ex")).alias("x"), (c("ty") + c("s.ey")).alias("y"), c("s.side").alias("side"),
-                (c("tx") + c("s.dx")).alias("nx"), (c("ty") + c("s.dy")).alias("ny"))
-    other = owned.select(c("tx").alias("nx"), c("ty").alias("ny"), c("fid").alias("_of"), c("levels").alias("_lv"))
-    return looks.join(other, ["nx", "ny"]).where("fid <> _of").groupBy("fid", "x", "y", "side").agg(F.max("_lv").alias("storeys"))
+    faces = F.array(F.struct("one", "other"), F.struct(c("other").alias("one"), c("one").alias("other")))
+    walls = painter.borders(owned, "fid", ["levels"]).select(F.explode(F.sequence(c("x0"), c("x1") - 1)).alias("x"), "y", "side", faces.alias("_f"))
+    return walls.select("x", "y", "side", F.explode("_f").alias("_f")).select("_f.one.fid", "x", "y", "side", c("_f.other.levels").alias("storeys"))
 
 
 def weight_under(footprints: DataFrame, ground: DataFrame) -> DataFrame:
-    """Sum of ground weights under each footprint. `ground` has tx, ty, weight."""
-    tiles = explode_tiles(footprints, ["fid"])
-    hit = tiles.join(ground, ["tx", "ty"]).groupBy("fid").agg(F.sum("weight").alias("weight"))
+    """Sum of ground weights under each footprint. `ground` is runs (ty, x0, x1, weight); those of one weight that overlap count once.
+
+    Runs of both meet in blocks of rows. The plan knows their number before they are
+    spread over rows only, so it is told to sort and merge, not to broadcast.
+    """
+    under = painter.in_blocks(painter.box_runs(footprints, ["fid"]), ["fid"], painter.NEAR)
+    over = painter.pieces(ground, ["weight"]).select("ty", "_b", "weight", c("x0").alias("_g0"), c("x1").alias("_g1"))
+    shared = F.least("x1", "_g1") - F.greatest("x0", "_g0")
+    hit = under.hint("merge").join(over, ["ty", "_b"]).where("x0 < _g1 AND _g0 < x1").groupBy("fid").agg(F.sum(shared * c("weight")).alias("weight"))
     return footprints.select("fid").join(hit, "fid", "left").select("fid", F.coalesce("weight", F.lit(0)).alias("weight"))
 
 
