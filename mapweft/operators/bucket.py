@@ -90,11 +90,13 @@ def bucket_join(
     levels: tuple[int, ...] = (1,),
     hot_rows: int = HOT_CELL_ROWS,
     force_salt: bool = False,
+    merge: bool = False,
 ) -> DataFrame:
     """Join rows whose boxes come within `reach` of each other and satisfy `on`.
 
     Column names must not clash. `how` is inner, left_semi or left_anti; for
-    the last two a box-shaped left side needs its unique `key`.
+    the last two a box-shaped left side needs its unique `key`. `merge` is for sides of
+    many more rows than the plan estimates, so that none is broadcast.
     """
     lb, rb = [_c(v) for v in left_box], [_c(v) for v in right_box]
     is_point = left_box[0] is left_box[2] and left_box[1] is left_box[3]
@@ -118,6 +120,8 @@ def bucket_join(
     meet = (lb[0] <= rx1) & (lb[2] >= rx0) & (lb[1] <= ry1) & (lb[3] >= ry0)
     r_keys = {k: f"_r{k}" for k in keys}
     right = right.withColumnsRenamed(r_keys)
+    if merge:
+        right = right.hint("merge")
     cond = meet
     for k in keys:
         cond = cond & (F.col(k) == F.col(r_keys[k]))

@@ -165,8 +165,8 @@ def nearest_segment(points: DataFrame, segs: DataFrame, key: str, reach: float,
 
 # ------------------------------------------------------------------- tiles
 def explode_tiles(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per tile of a rectangle."""
-    return (df.select(*keep, F.explode(F.sequence(c("y0"), c("y0") + c("h") - 1)).alias("ty"), "x0", "w")
+    """One row per tile of a rectangle. Rectangles are dealt out first: a small file of them is one task otherwise."""
+    return (df.repartition("x0", "y0").select(*keep, F.explode(F.sequence(c("y0"), c("y0") + c("h") - 1)).alias("ty"), "x0", "w")
               .select(*keep, "ty", F.explode(F.sequence(c("x0"), c("x0") + c("w") - 1)).alias("tx")))
 
 

@@ -89,3 +89,40 @@ def test_weights_count_each_tile_once(spark):
 def test_spread_rows_are_not_broadcast(spark, key):
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not SPREAD.search(plan)
+
+
+def test_grown_masks_and_edges(spark):
+    boxes = some_boxes(6, 30)
+    on = {tile for tile, _ in tiles_of(boxes)}
+    for r in (1, 3):
+        square = {(x + i, y + j) for x, y in on for i in range(-r, r + 1) for j in range(-r, r + 1)}
+        diamond = {(x + i, y + j) for x, y in on for i in range(-r, r + 1) for j in range(-r, r + 1) if abs(i) + abs(j) <= r}
+        for got, want in ((R.box_reach(frame(spark, boxes), r), square), (R.dilate_mask(frame(spark, boxes), r), diamond)):
+            rows = [(t.tx, t.ty) for t in got.collect()]
+            assert set(rows) == want and len(rows) == len(want)
+    edges = {(x + (i if side == "W" else 0), y + (i if side == "N" else 0), side) for x, y in on for i in (0, 1) for side in "WN"}
+    edges = {(x, y, side) for x, y, side in edges if ((x, y) in on) != ((x - (side == "W"), y - (side == "N")) in on)}
+    got = [(r.x, r.y, r.side) for r in P.edges(P.box_runs(frame(spark, boxes), [])).collect()]
+    assert set(got) == edges and len(got) == len(edges)
+
+
+def test_retiled_runs_count_tiles(spark):
+    runs = spark.createDataFrame([(0, 5, 20, 2), (0, 20, 40, 4), (9, 39, 41, 2)], "ty long, x0 long, x1 long, value int")
+    got = {(r.cx, r.cy): (r.n_set, r.n_default, r.total) for r in R.retile(runs, "value", 10).collect()}
+    assert got == {(0, 0): (5, 95, 10), (1, 0): (10, 90, 20), (2, 0): (10, 90, 40), (3, 0): (11, 89, 42), (4, 0): (1, 99, 2)}
+
+
+def test_point_projected_as_column_pairs_are(spark):
+    from mapweft.functions import project as U
+
+    grid = U.build_grid(40.0, 20.0, 40.1, 20.1, 2.0, rotation=30.0)
+    x, y = U.project_utm(F.col("lat"), F.col("lon"), grid)
+    rows = spark.createDataFrame([(40.0 + i / 70, 20.1 - i / 90) for i in range(8)], "lat double, lon double")
+    for r in rows.select(x.alias("x"), y.alias("y"), U.project_point(F.col("lat"), F.col("lon"), grid).alias("p")).collect():
+        assert abs(r.x - r.p.x) < 1e-6 and abs(r.y - r.p.y) < 1e-6
+
+
+@pytest.mark.parametrize("key", ["street_side", "limits", "shape_to_tiles", "box_reach", "dilate_mask", "boundary_edges", "rerun_equal"])
+def test_boxes_are_dealt_out_before_they_are_spread(spark, key):
+    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and not SPREAD.search(plan)
