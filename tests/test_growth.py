@@ -60,3 +60,28 @@ def test_pairs_of_a_block_are_all_found(near):
         if d <= lim and (inner[i] or inner[j]):
             want[min(keys[i], keys[j]), max(keys[i], keys[j])] = (d, lim)
     assert got == want
+
+
+def test_strokes_of_all_slopes_have_the_tiles_within_their_reach(spark):
+    from mapweft.operators import painter as P
+
+    rng = np.random.default_rng(9)
+    ends = [tuple(map(float, e)) for e in rng.integers(-70, 80, (30, 4))] + [(3.0, 5.0, 3.0, 5.0), (60.0, -4.0, 70.0, -4.0), (70.0, 9.0, 60.0, 9.0), (5.0, 20.0, 5.0, 2.0)]
+    rows = [(i % 3, *e, (0.5, 1.0, 2.5)[i % 3]) for i, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, "kind int, ax double, ay double, bx double, by double, half double").withColumns({k: F.floor(F.col(f"a{k[-1]}") / 64) for k in ("_cx", "_cy")})
+    got = {(r.kind, x, r.ty) for r in P.united(P.stroke_masks(df, F.col("half"), ["kind"]), ["kind"]).collect() for x in range(r.x0, r.x1)}
+    want = set()
+    for kind, ax, ay, bx, by, half in rows:
+        for x, y in itertools.product(range(int(min(ax, bx)) - 4, int(max(ax, bx)) + 5), range(int(min(ay, by)) - 4, int(max(ay, by)) + 5)):
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = max(0.0, min(1.0, ((x + 0.5 - ax) * (bx - ax) + (y + 0.5 - ay) * (by - ay)) / n)) if n else 0.0
+            if math.hypot(x + 0.5 - ax - t * (bx - ax), y + 0.5 - ay - t * (by - ay)) <= half + 1e-9:
+                want.add((kind, x, y))
+    assert got == want
+
+
+@pytest.mark.parametrize("query", ["rasterize_line", "ground_share_per_chunk"])
+def test_painting_unites_before_it_sorts(spark, query):
+    """Strokes and runs are united by an aggregate of bits; no sort sees a row of every stroke."""
+    plan = plan_of(entry.queries()[query](spark, SF))
+    assert "bit_or" in plan and not re.search(r"Sort \[ty#\d+L? ASC NULLS FIRST, _b#", plan)
