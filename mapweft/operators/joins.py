@@ -218,35 +218,55 @@ def feature_cells(features: DataFrame, key: str, size: int = 300) -> DataFrame:
 def push_off_road(points: DataFrame, segs: DataFrame, need: float, cell: float = 16.0, push: float = 18.0, rounds: int = 6) -> DataFrame:
     """Move points away from the road that crowds them most; drop those that cannot be cleared.
 
-    Up to six moves, each a join that keeps only the worst segment of a point.
-    `segs` has ax, ay, bx, by, half and sid; each reaches as far as its own half
-    width asks. `cell` is the side of the buckets.
+    Up to six moves. A point moves less than `push` in all, so the segments that any move can
+    meet are joined once, and the moves are folded over that array. `segs` has ax, ay, bx, by,
+    half and sid; each reaches as far as its own half width asks. `cell` is the least side of
+    the buckets: points are copied to the cells in their reach, segments to those they touch.
     """
-    state = points.select("pid", "x", "y", F.lit(push).alias("left"), F.lit(False).alias("clear"))
-    segs = segs.select("ax", "ay", "bx", "by", "half", "sid")
-    for _ in range(rounds):
-        near = P.segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by"))
-        wide = c("half") + need
-        sb = (F.least("ax", "bx") - wide, F.least("ay", "by") - wide, F.greatest("ax", "bx") + wide, F.greatest("ay", "by") + wide)
-        open_pts = state.where("NOT clear")
-        hits = bucket_join(open_pts.select("pid", "x", "y"), segs, point(c("x"), c("y")), sb, cell, near < need + c("half"))
-        t = P.segment_parameter(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by"))
-        hits = hits.withColumn("gap", need + c("half") - near).withColumn("t", t) \
-            .withColumn("dx", c("x") - (c("ax") + c("t") * (c("bx") - c("ax")))).withColumn("dy", c("y") - (c("ay") + c("t") * (c("by") - c("ay"))))
-        worst = hits.groupBy("pid").agg(F.max_by(F.struct("gap", "dx", "dy"), F.struct(c("gap"), (-c("sid")).alias("o"))).alias("m"))
-        length = F.sqrt(c("m.dx") * c("m.dx") + c("m.dy") * c("m.dy"))
-        step = c("m.gap") + 0.5
-        free = c("m").isNull()
-        moved = state.join(worst, "pid", "left").withColumn("step", step).withColumn("len", length)
-        ok = c("clear") | free | ((c("len") >= 1e-6) & (c("step") <= c("left")) & (c("left") - c("step") > 0))
-        go = ~(c("clear") | free)
-        state = cut(moved.where(ok).select(
-            "pid", F.when(go, c("x") + c("m.dx") / c("len") * c("step")).otherwise(c("x")).alias("x"),
-            F.when(go, c("y") + c("m.dy") / c("len") * c("step")).otherwise(c("y")).alias("y"),
-            F.when(go, c("left") - c("step")).otherwise(c("left")).alias("left"), (~go).alias("clear")))
-        if state.where("NOT clear").isEmpty():
-            break
-    return state.where("clear").select("pid", "x", "y")
+    reach, h = push + need + 1e-6, c("half")
+    sb = (F.least("ax", "bx") - h, F.least("ay", "by") - h, F.greatest("ax", "bx") + h, F.greatest("ay", "by") + h)
+    around = (c("x") - reach, c("y") - reach, c("x") + reach, c("y") + reach)
+    near = P.segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by")) <= reach + h
+    seg = F.struct("ax", "ay", "bx", "by", "half", "sid")
+    points = points.select("pid", "x", "y")
+    pairs = bucket_join(points, segs.select("ax", "ay", "bx", "by", "half", "sid"), around, sb, max(cell, 3 * reach), near, merge=True)
+    both = pairs.select("pid", "x", "y", seg.alias("s")).unionByName(points.withColumn("s", F.lit(None)))
+    met = both.groupBy("pid", "x", "y").agg(F.collect_list("s").alias("_segs"))
+
+    def crowds(s: Column, x: Column, y: Column) -> Column:
+        """How far a segment crowds a place, and from where; null if it does not."""
+        t = P.segment_parameter(x, y, s["ax"], s["ay"], s["bx"], s["by"])
+        off = F.transform(F.array(t), lambda t: F.struct((x - (s["ax"] + t * (s["bx"] - s["ax"]))).alias("dx"), (y - (s["ay"] + t * (s["by"] - s["ay"]))).alias("dy")))
+        far = lambda d: F.sqrt(d["dx"] * d["dx"] + d["dy"] * d["dy"])
+        wide = need + s["half"]
+        return F.get(F.transform(off, lambda d: F.when(far(d) < wide, F.struct((wide - far(d)).alias("gap"), (-s["sid"]).alias("o"), d["dx"].alias("dx"), d["dy"].alias("dy")))), F.lit(0))
+
+    def beside(s: Column, x: Column, y: Column) -> Column:
+        """Whether a place lies in a segment's box, a test much cheaper than the distance."""
+        wide = s["half"] + (need + 1e-6)
+        inside = lambda v, a, b: (v <= F.greatest(s[a], s[b]) + wide) & (v >= F.least(s[a], s[b]) - wide)
+        return inside(x, "ax", "bx") & inside(y, "ay", "by")
+
+    def state(x: Column, y: Column, left: Column, clear: Column, open_: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), left.alias("left"), clear.alias("clear"), open_.alias("open"))
+
+    yes, no = F.lit(True), F.lit(False)
+
+    def move(s: Column) -> Column:
+        worst = F.array_max(F.transform(F.filter("_segs", lambda g: beside(g, s["x"], s["y"])), lambda g: crowds(g, s["x"], s["y"])))
+
+        def by(m: Column) -> Column:
+            length, step = F.sqrt(m["dx"] * m["dx"] + m["dy"] * m["dy"]), m["gap"] + 0.5
+            go = (length >= 1e-6) & (step <= s["left"]) & (s["left"] - step > 0)
+            gone = state(s["x"], s["y"], s["left"], no, no)
+            moved = state(s["x"] + m["dx"] / length * step, s["y"] + m["dy"] / length * step, s["left"] - step, no, yes)
+            return F.when(m.isNull(), state(s["x"], s["y"], s["left"], yes, no)).when(go, moved).otherwise(gone)
+
+        return F.get(F.transform(F.array(worst), by), F.lit(0))
+
+    start = state(c("x"), c("y"), F.lit(float(push)), no, yes)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["open"], move(s)).otherwise(s))
+    return met.select("pid", end.alias("s")).where("s.clear").select("pid", "s.x", "s.y")
 
 
 def cells_inside(shape_edges: DataFrame, cells: DataFrame, size: int = 300) -> DataFrame:

@@ -85,3 +85,48 @@ def test_painting_unites_before_it_sorts(spark, query):
     """Strokes and runs are united by an aggregate of bits; no sort sees a row of every stroke."""
     plan = plan_of(entry.queries()[query](spark, SF))
     assert "bit_or" in plan and not re.search(r"Sort \[ty#\d+L? ASC NULLS FIRST, _b#", plan)
+
+
+def test_points_are_pushed_like_a_loop_over_all_roads(spark):
+    """Crowded, blocked, far and exactly met points; segments longer than a bucket, and equal ones of other widths."""
+    from mapweft.operators import joins as J
+
+    rng = np.random.default_rng(12)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-60, 160, (400, 2)))] + [(900, 10.0, 0.0), (901, 5000.0, 0.0), (902, None, 3.0)]
+    segs = [(i, *map(float, rng.integers(-50, 150, 4)), float(rng.choice([1.0, 3.0, 6.0]))) for i in range(25)]
+    segs += [(50, 0.0, 0.0, 20.0, 0.0, 3.0), (49, 0.0, 0.0, 20.0, 0.0, 3.0), (51, 0.0, 0.0, 20.0, 0.0, 6.0), (52, 40.0, 9.0, 40.0, 9.0, 4.0)]
+    want = {902: (None, 3.0)}
+    for pid, x, y in pts[:-1]:
+        left, clear = 18.0, False
+        for _ in range(6):
+            worst = None
+            for sid, ax, ay, bx, by, half in segs:
+                n = (bx - ax) ** 2 + (by - ay) ** 2
+                t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0.0
+                dx, dy = x - (ax + t * (bx - ax)), y - (ay + t * (by - ay))
+                gap = 2.0 + half - math.sqrt(dx * dx + dy * dy)
+                if gap > 0 and (worst is None or (gap, -sid) > worst[:2]):
+                    worst = (gap, -sid, dx, dy)
+            if worst is None:
+                clear = True
+                break
+            gap, _, dx, dy = worst
+            step, length = gap + 0.5, math.sqrt(dx * dx + dy * dy)
+            if length < 1e-6 or step > left or left - step <= 0:
+                break
+            x, y, left = x + dx / length * step, y + dy / length * step, left - step
+        if clear:
+            want[pid] = (round(x, 6), round(y, 6))
+    p = spark.createDataFrame(pts, "pid long, x double, y double")
+    s = spark.createDataFrame(segs, "sid long, ax double, ay double, bx double, by double, half double")
+    for cell in (3.0, 500.0):
+        got = {r.pid: (r.x if r.x is None else round(r.x, 6), round(r.y, 6)) for r in J.push_off_road(p, s, 2.0, cell).collect()}
+        assert got == want
+    assert 900 not in want and 0 < len(want) < len(pts) and any(pid < 900 and want[pid] != (round(x, 6), round(y, 6)) for pid, x, y in pts[:-1] if pid in want)
+
+
+def test_roads_are_read_once_to_push_points(spark):
+    """One plan whose moves are an array's; no round joins the roads again, and none is broadcast."""
+    plan = plan_of(entry.queries()["push_off_road"](spark, SF))
+    assert plan.count("FileScan parquet") == 4  # roads from two tables, points for their pairs and for themselves
+    assert "SortMergeJoin [_cx" in plan
