@@ -71,3 +71,28 @@ def test_streets_run_from_crossing_to_crossing(spark):
     got = sorted((r.name, r.stretch.a, r.stretch.b, r.width, r.length, r.segments) for r in stretches.collect())
     assert got == [("A", 1, 2, 12.0, 12.0, 2), ("A", 3, 5, 12.0, 11.0, 1), ("B", 2, 9, 3.0, 20.0, 1)]
     assert sorted((r.name, r.at, r.line.a, r.line.b, r.forward) for r in parts.collect()) == [("A", 0, 1, 2, True), ("A", 0, 3, 5, True), ("A", 1, 2, 3, True), ("B", 0, 2, 9, True)]
+
+
+@pytest.mark.parametrize("seed, places", [(1, 12), (2, 40), (3, 400)])
+def test_streets_by_roads_are_those_by_segments(spark, seed, places):
+    """Roads that touch, cross, turn back, close, stand still or run over each other, of one or two names."""
+    rng = random.Random(seed)
+    ways = [[rng.randrange(places) for _ in range(rng.randrange(2, 8))] for _ in range(60)]
+    ways += [[1000, 1001, 1002, 1000], [1010, 1011, 1010], [1020, 1021, 1022, 1020, 1023], [1030, 1030, 1031, 1031, 1032], [1040, 1041, 1042], [1042, 1041, 1040], [1050, 1051, 1052, 1053, 1050], [1053, 1060]]
+    rows = []
+    for w, keys in enumerate(ways):
+        for pos, (a, b) in enumerate(zip(keys, keys[1:]), 1):
+            name = None if w % 13 == 5 else "two" if w % 7 == 3 and pos > 2 else f"s{w % 3}" if w < 60 else "ring"
+            rows.append((name, w, pos, a, b, float(4 + (a * b) % 9), float(2 + w % 5)))
+    segs = spark.createDataFrame(rows, "name string, way_id long, pos long, akey long, bkey long, len double, width double").repartition(4)
+    pick = lambda df: sorted((r.name, r.stretch.a, r.stretch.b, r.width, r.length, r.segments, r.closed) for r in df.collect())
+    want = pick(CH.street_table(segs)[0])
+    assert pick(CH.street_stretches(segs)) == want and any(r[-1] for r in want) and any(r[5] > 2 for r in want)
+
+
+def test_only_touched_roads_are_ranked(spark):
+    """A road that meets no other of its name is one piece, whole; one that is met is cut at that place only."""
+    rows = [("A", 1, p, p, p + 1, 5.0, 8.0) for p in range(1, 6)] + [("A", 2, p, 10 + p, 11 + p, 5.0, 8.0) for p in range(1, 6)] + [("A", 3, 1, 13, 30, 5.0, 8.0), ("B", 4, 1, 3, 40, 5.0, 8.0)]
+    segs = spark.createDataFrame(rows, "name string, way_id long, pos long, akey long, bkey long, len double, width double")
+    got = sorted((r.a, r.b, r.segments, r.alone) for r in CH.street_pieces(segs).collect())
+    assert got == [(1, 6, 5, True), (3, 40, 1, True), (11, 13, 2, False), (13, 16, 3, False), (13, 30, 1, False)]
