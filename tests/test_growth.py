@@ -130,3 +130,38 @@ def test_roads_are_read_once_to_push_points(spark):
     plan = plan_of(entry.queries()["push_off_road"](spark, SF))
     assert plan.count("FileScan parquet") == 4  # roads from two tables, points for their pairs and for themselves
     assert "SortMergeJoin [_cx" in plan
+
+
+def test_a_whole_rectangle_is_dealt_out_by_its_size(spark, monkeypatch):
+    """Rows that are nearly all alike take few bytes; tasks are asked for, and no step of the blur has fewer."""
+    from mapweft.operators import tiles as T
+
+    monkeypatch.setattr(T, "DENSE_ROWS", 500)
+    cells = spark.createDataFrame([(0, 0, 1.0), (99, 40, 2.0)], "tx long, ty long, v double")
+    n = -(-100 * 41 // 500)
+    for df in (T.dense(cells, "tx", "ty", {"v": 0.0}), T.blur_box3(cells, "v", 2)):
+        dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", plan_of(df))
+        assert dealt and set(dealt) == {(str(n), "REPARTITION_BY_NUM")}
+        assert df.count() == 4100 and df.rdd.getNumPartitions() == n
+
+
+def test_three_blurs_of_an_axis_agree_over_blocks(spark):
+    """Negative places, edges that go on, blocks narrower than the field, an empty field."""
+    from mapweft.operators import tiles as T
+
+    rng = np.random.default_rng(4)
+    field = np.where(rng.random((23, 90)) < 0.2, rng.uniform(0, 9, (23, 90)), 0.0)
+    field[0, 0], field[-1, -1] = 3.0, 5.0
+    cells = [(int(x) - 40, int(y) - 11, float(field[y, x])) for y, x in zip(*np.nonzero(field))]
+    want = field
+    for axis in (1, 0):
+        for _ in range(3):
+            pad = np.pad(want, [(4, 4) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+            want = sum(np.take(pad, range(k, k + want.shape[axis]), axis) for k in range(9)) / 9
+    df = spark.createDataFrame(cells, "tx int, ty long, v double")
+    for block in (8, 256):
+        got = T.blur_box3(df, "v", 4, block)
+        assert [t for _, t in got.dtypes] == ["int", "bigint", "double"]
+        rows = {(r.tx, r.ty): r.v for r in got.collect()}
+        assert len(rows) == want.size and all(abs(rows[x - 40, y - 11] - want[y, x]) < 1e-9 for y in range(23) for x in range(90))
+    assert T.blur_box3(df.where("v < 0"), "v", 4).count() == 0
