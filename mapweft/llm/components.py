@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweft.session import cut
+from mapweft.session import release, store
 
 # Edges that one task contracts by itself before tasks exchange anything.
 TASK_EDGES = 200_000
@@ -43,20 +43,23 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     roots, and contracts the edges. Labels without smaller neighbours stay; every other
     one merges, so the number of labels shrinks at least by half wherever edges are left.
     A hub's minimum is taken with partial aggregation, and joins on a hub meet a
-    checkpointed side, so that a skewed join can be split at run time.
+    stored side, so that a skewed join can be split at run time. Tables of a round are
+    stored, not checkpointed: a checkpoint keeps the guess of its size, a join multiplies the
+    guesses of its sides, and after some rounds such a number alone fills the driver.
     """
-    ends = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-    ends = cut(ends)
+    ends = store(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")))
     tasks = ends.count() // TASK_EDGES + 1
-    state = cut(ends.repartition(tasks).mapInPandas(_forest, "a long, b long").distinct())
-    labels = cut(state.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id")))
-    state = state.where("a <> b")
+    state = store(ends.repartition(tasks).mapInPandas(_forest, "a long, b long").distinct())
+    labels = store(state.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id")))
+    release(ends)
+    held, state = state, state.where("a <> b")
     while not state.isEmpty():
         both = state.union(state.select(F.col("b"), F.col("a")))
-        roots = cut(both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("low")).select("label", F.least("label", "low").alias("root")))
-        roots = _follow(roots)
-        labels = cut(_renamed(labels, roots, "component"))
-        state = cut(_renamed(_renamed(state, roots, "a"), roots, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        roots = _follow(store(both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("low")).select("label", F.least("label", "low").alias("root"))))
+        last = labels, held, roots
+        labels = store(_renamed(labels, roots, "component"))
+        held = state = store(_renamed(_renamed(state, roots, "a"), roots, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(*last)
     return labels
 
 
@@ -67,12 +70,12 @@ def _renamed(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
 
 
 def _follow(roots: DataFrame) -> DataFrame:
-    """Point every label at the end of its chain of hooks; the chain's length halves twice a round."""
+    """Point every label of a stored table at the end of its chain of hooks; the chain's length halves twice a round."""
     while True:
         once = roots.join(roots.select(F.col("label").alias("_l"), F.col("root").alias("_r")), F.col("root") == F.col("_l")).select("label", "root", F.col("_r").alias("next"))
         twice = once.join(roots.select(F.col("label").alias("_l"), F.col("root").alias("_r")), F.col("next") == F.col("_l"))
-        moved = cut(twice.select("label", "root", F.col("_r").alias("next")))
-        done = moved.where("root <> next").isEmpty()
-        roots = moved.select("label", F.col("next").alias("root"))
-        if done:
+        moved = store(twice.select("label", F.col("_r").alias("root"), (F.col("root") != F.col("_r")).alias("moved")))
+        release(roots)
+        roots = moved
+        if moved.where("moved").isEmpty():
             return roots

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import release, store
 
 
 def _mark(edges: DataFrame):
@@ -17,14 +17,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round is two group-bys with map-side minimums and two joins, and
     halves the distance to the smallest id, so long chains need few rounds. It ends
-    when a round changes nothing.
+    when a round changes nothing. Rounds are stored: the guesses of sizes that checkpoints
+    keep would multiply, see `store`.
     """
-    state = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))
-    ends = cut(state.select("u").union(state.select("v")).distinct().withColumnRenamed("u", "id"))
-    state = state.where("u <> v")
+    held = store(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))
+    ends = store(held.select("u").union(held.select("v")).distinct().withColumnRenamed("u", "id"))
+    state = held.where("u <> v")
     seen = None
     while True:
-        state = cut(_small_star(_large_star(state)))
+        last, held = held, store(_small_star(_large_star(state)))
+        release(last)
+        state = held
         mark = tuple(_mark(state))
         if mark == seen:
             break

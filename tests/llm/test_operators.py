@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mapweft.llm import bpe, chat, media, toxicity
+from mapweft.llm import components as components_module
 from mapweft.llm.components import components
 from mapweft.llm.jaccard import Sketches, similar_documents, sketch, suffix_able
 from mapweft.llm.lines import drop_spread_lines
@@ -18,6 +19,7 @@ from mapweft.llm.mixing import mix
 from mapweft.llm.near_vectors import link_vectors
 from mapweft.llm.shards import shard_by_bytes
 from mapweft.llm.suffixes import Run, common_prefixes, front_code, merge, remove_repeats
+from mapweft.session import estimated_bytes
 
 SCHEMA = "doc_id long, text string, source string, size long, block long, rank int, score double, kept boolean, n_lines int"
 
@@ -190,6 +192,17 @@ def test_components_of_a_chain(spark):
     assert (got[1000], got[1001], got[1002]) == (1000, 1000, 1000)
 
 
+def test_components_keep_their_size(spark, monkeypatch):
+    """However many rounds it takes, the plan's guess of the size stays that of the rows."""
+    monkeypatch.setattr(components_module, "TASK_EDGES", 50)
+    chain = list(range(400))
+    random.Random(4).shuffle(chain)
+    edges = spark.createDataFrame([*zip(chain[:-1], chain[1:])], "src long, dst long")
+    got = components(edges)
+    assert estimated_bytes(got) < 1 << 20
+    assert {r.component for r in got.collect()} == {0}
+
+
 def test_shards(docs, data, nothing):
     got = shard_by_bytes(docs, 7).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in data)
