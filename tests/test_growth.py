@@ -165,3 +165,26 @@ def test_three_blurs_of_an_axis_agree_over_blocks(spark):
         rows = {(r.tx, r.ty): r.v for r in got.collect()}
         assert len(rows) == want.size and all(abs(rows[x - 40, y - 11] - want[y, x]) < 1e-9 for y in range(23) for x in range(90))
     assert T.blur_box3(df.where("v < 0"), "v", 4).count() == 0
+
+
+def test_clip_paints_its_roads_once(spark):
+    """One pass over the roads gives the cover and what a clip leaves, and no stroke is a row of its own."""
+    plan = plan_of(entry.queries()["clip_cover_to_shape"](spark, SF))
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1
+    assert "MapInPandas" in plan and "transform(" not in plan
+
+
+def test_clip_in_one_sweep_is_the_clip_of_the_cover(spark):
+    from mapweft.operators import painter as P
+
+    rng = np.random.default_rng(3)
+    kinds = ["residential", "industrial", "pavement", "verge", "road_minor", "water", "unknown"]
+    rows = [(int(y), int(x), int(x + w), kinds[k], bool(held)) for y, x, w, k, held in zip(*(rng.integers(a, b, 150) for a, b in ((0, 6), (-90, 150), (1, 40), (0, 7), (0, 2))))]
+    df = spark.createDataFrame(rows, "ty long, x0 long, x1 long, paint string, held boolean").repartition(3)
+
+    def tiles(runs):
+        return {(x, r.ty): r.value for r in runs.collect() for x in range(r.x0, r.x1)}
+
+    held = df.where("held").select("ty", "x0", "x1")
+    want = tiles(P.clip_cover_to_shape(P.ground_cover(df.drop("held")), held, held.limit(0)))
+    assert tiles(P.clipped_cover(df)) == want and len(set(want.values())) > 3
