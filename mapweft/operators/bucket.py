@@ -139,7 +139,7 @@ def bucket_join(
     if key is None:
         raise ValueError("a semi or anti join of boxes needs the left key")
     hits = probe.join(right, cond, "inner").select(*key).distinct()
-    return left.join(hits, key, how)
+    return left.join(hits.hint("merge") if merge else hits, key, how)
 
 
 def boxes_overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:

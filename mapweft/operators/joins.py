@@ -114,9 +114,9 @@ def farther_than(points: DataFrame, footprints: DataFrame, distance: float, cell
 
 
 def without_overlap(rects: DataFrame, blockers: DataFrame, key: str, cell: float = 32) -> DataFrame:
-    """Rectangles that share no square with a blocker."""
+    """Rectangles that share no square with a blocker. The plan may know of few rectangles that are still to be spread, so none is broadcast."""
     hit = boxes_overlap("x0", "y0", c("x0") + c("w"), c("y0") + c("h"), "bx0", "by0", "bx1", "by1")
-    return bucket_join(rects, named_boxes(blockers), box(), ("bx0", "by0", "bx1", "by1"), cell, hit, "left_anti", key=[key])
+    return bucket_join(rects, named_boxes(blockers), box(), ("bx0", "by0", "bx1", "by1"), cell, hit, "left_anti", key=[key], merge=True)
 
 
 def not_near(points: DataFrame, served: DataFrame, reach: float) -> DataFrame:

@@ -188,3 +188,16 @@ def test_clip_in_one_sweep_is_the_clip_of_the_cover(spark):
     held = df.where("held").select("ty", "x0", "x1")
     want = tiles(P.clip_cover_to_shape(P.ground_cover(df.drop("held")), held, held.limit(0)))
     assert tiles(P.clipped_cover(df)) == want and len(set(want.values())) > 3
+
+
+def test_stalls_are_not_broadcast(spark):
+    """A few car parks in the plan are very many stalls: neither they nor those that overlap go to every task."""
+    from mapweft.operators import joins as J
+
+    lots = spark.read.parquet(f"{SF}/supplier.parquet").selectExpr("s_suppkey AS x0", "explode(sequence(1, 9)) AS y0", "3 AS w", "5 AS h").withColumn("sid", F.col("x0") * 10 + F.col("y0"))
+    built = view(spark, SF, "v_building")
+    out = J.without_overlap(lots, built, "sid")
+    assert "Broadcast" not in plan_of(out)
+    boxes = [(b.x0, b.y0, b.x0 + b.w, b.y0 + b.h) for b in built.collect()]
+    want = {r.sid for r in lots.collect() if not any(a < r.x0 + r.w and r.x0 < c and b < r.y0 + r.h and r.y0 < d for a, b, c, d in boxes)}
+    assert {r.sid for r in out.collect()} == want
