@@ -222,3 +222,20 @@ def test_nearest_along_rows_and_columns(spark, cell):
     assert {(r.tx, r.ty): (r.west, r.east, r.north, r.south) for r in got} == want and len(got) == len(want)
     plan = plan_of(entry.queries()["directional_nearest"](spark, SF))
     assert len(re.findall(r"(?<!Running)Window \[", plan)) == 1  # the one that numbers the places of a road
+
+
+def test_rounds_write_only_seeds_that_move_or_wait(spark, monkeypatch):
+    """Seeds far from all others are written by no round."""
+    from mapweft.session import store
+
+    wrote = []
+
+    def counted(df):
+        out = store(df)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "store", counted)
+    rows = [(i, 1000.0 * i, 0.0, 6.0, 3) for i in range(200)] + [(1000, 5.0, 0.0, 6.0, 3), (1001, 7.0, 0.0, 6.0, 2)]
+    got = dict(N.junction_clusters(spark.createDataFrame(rows, "vkey long, x double, y double, width double, links long")).collect())
+    assert got == {i: i for i in range(200)} | {1000: 0, 1001: 1001} and sum(wrote) == 3
